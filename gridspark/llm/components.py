@@ -48,7 +48,7 @@ def components(links: DataFrame) -> DataFrame:
         hung = large.join(low, F.col("u") == F.col("c"))
         small = hung.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
         links = table(small, f"small-{k}")
-        state = links.agg(F.count("*").alias("n"), F.sum("v").alias("s"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        state = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before, k = state, k + 1

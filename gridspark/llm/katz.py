@@ -122,7 +122,7 @@ def _block(block: int, batches: list[pa.RecordBatch], parts: int) -> pa.Table:
     low = int(plain.min())
     docs = pack((plain.astype(object) - low).astype(np.uint64), null.astype(np.int64), held.astype(np.int64), lengths, sequence, rank[-1:])
     out = [(block, -1, docs, [low, int((~held).sum())])]
-    out += [(block, part, pack(keys[order[a:b]], counts[order[a:b]]), None) for part, a, b in bounds]
+    out += [(block, part, pack(keys[order[a:b]], counts[a:b]), None) for part, a, b in bounds]
     return _rows(out)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .words import bytes_of, owners, sums, words
+from .words import bytes_of, fresh, owners, sums, words
 
 SYMBOLS = "#*$%&|<>"
 NEAREST = 0.75
@@ -40,7 +40,7 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def text_counts(texts: pa.Array, window: int = 3) -> dict[str, np.ndarray]:
     """Counts of each text; see quality()."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = fresh(texts)
     n = len(texts)
     flat, offsets = words(texts)
     out = {"n_words": np.diff(offsets), "word_chars": sums(pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64), offsets)}

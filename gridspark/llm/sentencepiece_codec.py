@@ -25,6 +25,7 @@ from sentencepiece import sentencepiece_model_pb2
 
 from .common import table
 from .ragged import PairTable, gather
+from .words import fresh
 
 SPACE = "▁"
 #: Units whose pieces a worker keeps, and the longest one kept.
@@ -138,7 +139,7 @@ class Codec:
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, laid end to end, and where each text's begin. No piece goes on after a space, so a text
         without spaces side by side is coded by its parts between spaces, each with a space before it."""
-        texts = texts.cast(pa.large_string())
+        texts = fresh(texts)
         odd = pc.or_(pc.match_substring_regex(texts, f"[ {SPACE}][ {SPACE}]|^[ {SPACE}]|[ {SPACE}]$"), pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(pc.replace_substring(texts, SPACE, " "), " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)

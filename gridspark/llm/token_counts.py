@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ragged import PairTable
-from .words import sums
+from .words import fresh, sums
 
 #: The pattern of the byte-level pre-tokenizer (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -82,7 +82,7 @@ class Merges:
     def tokens(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text. Where no two white-space characters follow each other, no pre-token crosses the place
         before a space, so such texts are coded by the pieces between spaces; the others by whole texts."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = fresh(texts)
         plain = pc.invert(pc.match_substring_regex(texts, f"{WHITE}{{2}}"))
         for token in self.added:
             plain = pc.and_(plain, pc.invert(pc.match_substring(texts, token)))

@@ -7,9 +7,24 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def fresh(texts: pa.Array) -> pa.Array:
+    """The texts, null as empty, in buffers of their own. Casting a slice leaves its first offset behind, and kernels such
+    as ascii_lower then read other rows' bytes, so slices are copied first."""
+    texts = texts.take(pa.array(np.arange(len(texts)))) if texts.offset or _first(texts) else texts
+    return pc.fill_null(texts.cast(pa.large_string()), "")
+
+
+def _first(texts: pa.Array) -> int:
+    """Where an array's first value begins in its data."""
+    buffer = texts.buffers()[1] if len(texts) else None
+    if buffer is None:
+        return 0
+    return int(np.frombuffer(buffer, np.int64 if pa.types.is_large_string(texts.type) else np.int32, 1)[0])
+
+
 def words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """All words of all texts, and where each text's words begin (one more entry than texts). A null text has none."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = fresh(texts)
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat, offsets = lists.values, lists.offsets.to_numpy().astype(np.int64)
     flat = flat.slice(offsets[0], offsets[-1] - offsets[0])
@@ -34,7 +49,7 @@ def owners(offsets: np.ndarray) -> np.ndarray:
 
 def bytes_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string array's bytes and its offsets into them."""
-    array = pc.fill_null(array.cast(pa.large_string()), "")
+    array = fresh(array)
     if not len(array):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(array.buffers()[1], np.int64)[array.offset : array.offset + len(array) + 1]
