@@ -49,12 +49,12 @@ def period_schedule(shares: DataFrame) -> DataFrame:
              (acc, t) -> named_struct(
                'done', transform(acc.done, (d, i) -> d + if(i = element_at(
                     transform(array(array_min(filter(transform(s, (x, k) -> if(
-                        floor(acc.done[k] * cast(period AS bigint) / x.share) <= t AND acc.done[k] < x.share,
-                        named_struct('due', ceil((acc.done[k] + 1) * cast(period AS bigint) / x.share), 'k', k), null)),
+                        (acc.done[k] * cast(period AS bigint)) div x.share <= t AND acc.done[k] < x.share,
+                        named_struct('due', ((acc.done[k] + 1) * cast(period AS bigint) + x.share - 1) div x.share, 'k', k), null)),
                         y -> y IS NOT NULL))), z -> z.k), 1), 1, 0)),
                'picks', concat(acc.picks, transform(array(array_min(filter(transform(s, (x, k) -> if(
-                        floor(acc.done[k] * cast(period AS bigint) / x.share) <= t AND acc.done[k] < x.share,
-                        named_struct('due', ceil((acc.done[k] + 1) * cast(period AS bigint) / x.share), 'k', k), null)),
+                        (acc.done[k] * cast(period AS bigint)) div x.share <= t AND acc.done[k] < x.share,
+                        named_struct('due', ((acc.done[k] + 1) * cast(period AS bigint) + x.share - 1) div x.share, 'k', k), null)),
                         y -> y IS NOT NULL))), z -> z.k)))
            ).picks AS picks""", "s", "period",
     ).selectExpr("posexplode(picks) AS (slot_in_period, k)", "s", "period").selectExpr(
@@ -77,14 +77,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", blo
     ranked = (sequence_in_groups if by_id else sequence_as_stored)(keyed, "_gs_source", [id_col], "_gs_rank")
     # `shares` rows, or one for each source if those are more: the schedule's size doesn't grow with the documents.
     blocks = ranked.withColumn("mix_block", F.expr(f"(_gs_rank - 1) div {int(block_rows)} + 1")).withColumn("mix_place", F.expr(f"(_gs_rank - 1) % {int(block_rows)}"))
-    wide = schedule.groupBy("p_source").agg(F.max("share").cast("bigint").alias("share"), F.max("period").alias("period"), F.sort_array(F.collect_list(F.struct("nth", "slot_in_period"))).alias("plan"))
-    joined = blocks.join(wide, F.col("_gs_source") == F.col("p_source"), "inner")
+    wide = schedule.groupBy("p_source").agg(F.max("share").cast("bigint").alias("_gs_share"), F.max("period").alias("_gs_period"), F.sort_array(F.collect_list(F.struct("nth", "slot_in_period"))).alias("_gs_plan")).withColumnRenamed("p_source", "_gs_of")
+    joined = blocks.join(wide, F.col("_gs_source") == F.col("_gs_of"), "inner")
     return joined.selectExpr(
         *[f"`{c}`" for c in docs.columns],
         "mix_block",
-        "floor((mix_block - 1) * period / share) AS mix_release",
-        "ceil(mix_block * period / share) AS mix_deadline",
-        "((mix_block - 1) div share) * period + plan[cast((mix_block - 1) % share AS int)].slot_in_period AS mix_slot",
+        "((mix_block - 1) * _gs_period) div _gs_share AS mix_release",
+        "(mix_block * _gs_period + _gs_share - 1) div _gs_share AS mix_deadline",
+        "((mix_block - 1) div _gs_share) * _gs_period + _gs_plan[cast((mix_block - 1) % _gs_share AS int)].slot_in_period AS mix_slot",
         "mix_place",
     )
 

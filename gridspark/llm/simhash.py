@@ -33,11 +33,12 @@ AT_ONCE = 1 << 17
 SMALL, QUERIES = 64, 16
 
 
-def fingerprints(texts: pa.Array, shingle: int, seed: int) -> np.ndarray:
-    """SimHash of each text over its word shingles, repeats included."""
+def fingerprints(texts: pa.Array, shingle: int, seed: int, words_: int = 1) -> np.ndarray:
+    """SimHash of each text over its word shingles, repeats included: a row of 64-bit words. The first word's hash is
+    XXH64; those of further words mix it again."""
     flat, offsets = words(texts, lower=True)
     counts = np.diff(offsets)
-    out = np.zeros(len(counts), np.uint64)
+    out = np.zeros((len(counts), words_), np.uint64)
     # The words of all texts, one space after each, and where each begins.
     begin = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False).astype(np.int64) + 1)])
     data = bytes_of(pc.binary_join_element_wise(flat, *(pa.scalar(x, flat.type) for x in ("", " "))))[0].tobytes()
@@ -54,56 +55,72 @@ def fingerprints(texts: pa.Array, shingle: int, seed: int) -> np.ndarray:
     while at < len(counts):
         stop = max(at + 1, int(np.searchsorted(cuts, cuts[at] + AT_ONCE, side="right")) - 1)
         low, high = cuts[at], cuts[stop]
-        ones = np.zeros((stop - at, BITS), np.int64)
+        ones = np.zeros((words_, stop - at, BITS), np.int64)
         for x in range(low, high, AT_ONCE):
             y = min(x + AT_ONCE, high)
             h = np.array([digest(data[i:j], seed) for i, j in zip(starts[x:y].tolist(), stops[x:y].tolist(), strict=True)], np.uint64)
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             own = owner[x:y] - at
             heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            ones[own[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int32)
-        major = ones * 2 > per[at:stop, None]
-        out[at:stop] = np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
+            for k in range(words_):
+                if k:
+                    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                    h ^= h >> np.uint64(32)
+                bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                ones[k][own[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int32)
+        for k in range(words_):
+            major = ones[k] * 2 > per[at:stop, None]
+            out[at:stop, k] = np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
         at = stop
     return out
 
 
+def _bits(values: np.ndarray) -> np.ndarray:
+    """A row of bits for each value, low bits first."""
+    values = np.ascontiguousarray(values)
+    return np.unpackbits(values.view(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+
+
 def _planes(values: np.ndarray) -> np.ndarray:
-    """BITS rows of packed lanes: bit i of plane b is bit b of value i."""
+    """Packed lanes for each bit: bit i of plane b is bit b of value i."""
     lanes = -(-len(values) // 64) * 64
-    bits = np.zeros((lanes, BITS), np.uint8)
-    bits[: len(values)] = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.zeros((lanes, values.shape[1] * BITS), np.uint8)
+    bits[: len(values)] = _bits(values)
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
 def _within(diff: np.ndarray, radius: int) -> np.ndarray:
-    """Packed lanes whose distance is at most the radius. diff: the 64 XOR planes, first axis.
-
-    Two planes at a time go through a carry-save adder into counters of ones, twos and fours; a lane that reaches eight
-    stays out. The block is left when every lane is beyond the radius."""
-    ones, twos, fours, out = (np.zeros(diff.shape[1:], np.uint64) for _ in range(4))
-    for k in range(0, BITS, 2):
+    """Packed lanes whose distance is at most the radius. diff: the XOR planes, first axis.
+
+    Two planes at a time go through a carry-save adder into counters held as planes; a lane that passes their range stays
+    out. The block is left when every lane is beyond the radius."""
+    size = (radius + 1).bit_length()
+    counter = [np.zeros(diff.shape[1:], np.uint64) for _ in range(size)]
+    out = np.zeros(diff.shape[1:], np.uint64)
+    for k in range(0, len(diff), 2):
         a, b = diff[k], diff[k + 1]
         half = a ^ b
-        carry = (a & b) | (half & ones)
-        ones = half ^ ones
-        carry2 = twos & carry
-        twos = twos ^ carry
-        out |= fours & carry2
-        fours = fours ^ carry2
+        carry = (a & b) | (half & counter[0])
+        counter[0] = half ^ counter[0]
+        for i in range(1, size):
+            counter[i], carry = counter[i] ^ carry, counter[i] & carry
+        out |= carry
         if k % 16 == 14:
-            beyond = _beyond(ones, twos, fours, out, radius)
+            beyond = _beyond(counter, out, radius)
             if (beyond == np.uint64(0xFFFFFFFFFFFFFFFF)).all():
                 break
     return ~beyond
 
 
-def _beyond(ones: np.ndarray, twos: np.ndarray, fours: np.ndarray, out: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose counter is over the radius (under 8)."""
-    over = out.copy()
-    for value in range(radius + 1, 8):
-        over |= (ones if value & 1 else ~ones) & (twos if value & 2 else ~twos) & (fours if value & 4 else ~fours)
-    return over
+def _beyond(counter: list[np.ndarray], out: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes that are out, or whose counter is over the radius: compared from the highest plane down."""
+    over, even = np.zeros_like(out), ~np.zeros_like(out)
+    for i in reversed(range(len(counter))):
+        if radius >> i & 1:
+            even &= counter[i]
+        else:
+            over |= even & counter[i]
+            even &= ~counter[i]
+    return over | out
 
 
 def _lanes(packed: np.ndarray) -> np.ndarray:
@@ -111,7 +128,9 @@ def _lanes(packed: np.ndarray) -> np.ndarray:
 
 
 def close_pairs(values: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j) in the same group, within the radius, each once. group: sorted, so that groups lie together."""
+    """Index pairs (i, j) in the same group, within the radius, each once. group: sorted, so that groups lie together.
+    values: a row of 64-bit words each."""
+    values = values.reshape(len(values), -1)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(group)))
@@ -137,7 +156,7 @@ def close_pairs(values: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.
 def _large(values: np.ndarray, start: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one large group: its planes are made once; each query flips the planes of the bits it has."""
     planes = _planes(values)
-    bits = np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+    bits = _bits(values).astype(bool)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     for at in range(0, len(values), QUERIES):
         own = bits[at : at + QUERIES]
@@ -151,10 +170,10 @@ def _large(values: np.ndarray, start: int, radius: int) -> Iterator[tuple[np.nda
 
 
 def block_keys(radius: int, blocks: int) -> list[tuple[int, int]]:
-    """(number, mask) for each choice of blocks - radius agreeing blocks."""
+    """(word, mask) for each choice of blocks - radius agreeing blocks of the first word."""
     cuts = [round(i * BITS / blocks) for i in range(blocks + 1)]
     masks = [(1 << cuts[i + 1]) - (1 << cuts[i]) for i in range(blocks)]
-    return list(enumerate(sum(masks[i] for i in c) for c in combinations(range(blocks), blocks - radius)))
+    return [(0, sum(masks[i] for i in c)) for c in combinations(range(blocks), blocks - radius)]
 
 
 def blocks_for(n: int, radius: int) -> int:
@@ -165,76 +184,97 @@ def blocks_for(n: int, radius: int) -> int:
     return radius + 8
 
 
-def _compare(radius: int):
+def sampled_keys(n: int, words_: int, tables: int) -> list[tuple[int, int]]:
+    """(word, mask) of `tables` keys of bits drawn by a fixed rule: two bits more than tell n fingerprints apart."""
+    rng, size = np.random.default_rng(7), min(BITS, max(8, n.bit_length() + 2))
+    return [(t % words_, sum(1 << int(b) for b in rng.choice(BITS, size, replace=False))) for t in range(tables)]
+
+
+def _compare(radius: int, words_: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("t", "ascending"), ("bucket", "ascending"), ("a", "ascending"), ("b", "ascending")])
-        columns = [rows[c].to_numpy() for c in ("t", "bucket", "a", "b")]
+        names = ("t", "bucket", "a", "b")
+        rows = rows.sort_by([(c, "ascending") for c in names])
         change = np.zeros(rows.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        value = rows["fp"].to_numpy()
-        i, j = close_pairs(value.view(np.uint64), np.cumsum(change), radius)
-        x, y = forest(value[i], value[j])
+        for c in names:
+            x = rows[c].to_numpy()
+            change[1:] |= x[1:] != x[:-1]
+        values = np.stack([rows[f"fp{k}"].to_numpy().view(np.uint64) for k in range(words_)], axis=1)
+        node = rows["node"].to_numpy()
+        i, j = close_pairs(values, np.cumsum(change), radius)
+        x, y = forest(node[i], node[j])
         return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
     return run
 
 
-def links(distinct: DataFrame, radius: int, parts: int) -> DataFrame:
-    """a, b: links that join the same components as all pairs of fingerprints (fp, distinct) within the radius."""
-    keys = block_keys(radius, blocks_for(max(distinct.count(), 1), radius))
+def links(distinct: DataFrame, radius: int, keys: list[tuple[int, int]], words_: int, parts: int) -> DataFrame:
+    """a, b: links between nodes of distinct (node, fp0, ...; fingerprints all different) that join the same components as
+    all pairs which are within the radius and agree in the masked bits of a key."""
+    fps = [f"fp{k}" for k in range(words_)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    pairs = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bucket")) for t, m in keys)))
-    spread = distinct.select("fp", pairs.alias("k")).select("fp", "k.t", "k.bucket")
-    sizes = spread.groupBy(F.col("t").alias("s_t"), F.col("bucket").alias("s_bucket")).agg(F.count("*").alias("n")).filter("n > 1")
-    met = spread.join(sizes, (F.col("t") == F.col("s_t")) & (F.col("bucket") == F.col("s_bucket"))).withColumn("tiles", F.expr(f"cast(ceil(n / {TILE}) AS int)"))
-    own = F.expr("cast(pmod(xxhash64(fp, 7), tiles) AS int)")
-    tiled = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "fp", "t", "bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")
+    made = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col(f"fp{w}").bitwiseAND(F.lit(signed(m))).alias("bucket")) for t, (w, m) in enumerate(keys))))
+    # Sizes of buckets are counted apart, and only fingerprints in a bucket with others go on.
+    bucket = distinct.select("node", *fps, made.alias("k")).select("node", *fps, "k.t", "k.bucket")
+    sizes = bucket.groupBy(F.col("t").alias("s_t"), F.col("bucket").alias("s_bucket")).agg(F.count("*").alias("n")).filter("n > 1")
+    met = bucket.join(sizes, (F.col("t") == F.col("s_t")) & (F.col("bucket") == F.col("s_bucket"))).withColumn("tiles", F.expr(f"cast(ceil(n / {TILE}) AS int)"))
+    tiled = met.withColumn("own", F.expr("cast(pmod(xxhash64(node, 7), tiles) AS int)")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).select(
+        "node", *fps, "t", "bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")
     )
     dealt = tiled.withColumn("task", F.pmod(F.xxhash64("t", "bucket", "a", "b"), F.lit(parts)))
-    return dealt.groupBy("task").applyInArrow(_compare(radius), "a bigint, b bigint")
+    return dealt.groupBy("task").applyInArrow(_compare(radius, words_), "a bigint, b bigint")
 
 
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42) -> DataFrame:
-    """id, fp (the fingerprint's 64 bits as a signed number) for every row of docs."""
+def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42, words_: int = 1) -> DataFrame:
+    """id, fp0, fp1, ... (the fingerprint's bits as signed 64-bit numbers) for every row of docs."""
+    names = ["id", *(f"fp{k}" for k in range(words_))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = fingerprints(batch.column(1), shingle, seed)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            fp = fingerprints(batch.column(1), shingle, seed, words_).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(words_))], names)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id bigint, fp bigint")
+    return rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3, seed: int = 42) -> DataFrame:
-    """id, fingerprint (16 lowercase hex digits), component_id for every row of docs.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 4, seed: int = 42, words_: int = 1, tables: int = 0) -> DataFrame:
+    """id, fingerprint (16 lowercase hex digits for each word of bits), component_id for every row of docs.
 
     A-Z are lower-cased; words are parted by ASCII white space; shingles count as often as they occur; a text with fewer
     words is one shingle; null or empty texts have fingerprint zero, linked like any other. Fingerprints link at up to
-    `radius` differing bits (under 7). component_id is the smallest id reachable over links; rows that repeat an id are
-    kept, and null ids never lead a component unless it has no other. Other columns are not read."""
+    `radius` differing bits of all their words. With tables=0 no such link is lost (one word of bits only); else pairs meet
+    if they agree in one of `tables` keys of sampled bits. component_id is the smallest id reachable over links; rows that
+    repeat an id are kept, and a null id leads a component only if it has no other. Other columns are not read."""
+    if not tables and words_ > 1:
+        raise ValueError("fingerprints of several words need tables")
     spark = docs.sparkSession
-    prints = table(simhash(docs, id_col, text_col, shingle, seed), "fingerprints")
-    distinct = table(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    joined = components(links(distinct.select("fp"), radius, parts))
-    of = distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    fps = [f"fp{k}" for k in range(words_)]
+    prints = table(simhash(docs, id_col, text_col, shingle, seed, words_), "fingerprints")
+    # A fingerprint's node is a hash of it if it has several words, of which none collide among 2**32 but by rare chance.
+    node = F.col("fp0") if words_ == 1 else F.xxhash64(*fps)
+    distinct = table(prints.groupBy(*fps).agg(F.min("id").alias("first")).withColumn("node", node), "distinct")
+    n = max(distinct.count(), 1)
+    keys = sampled_keys(n, words_, tables) if tables else block_keys(radius, blocks_for(n, radius))
+    joined = components(links(distinct, radius, keys, words_, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    of = distinct.join(joined.withColumnRenamed("node", "j_node"), F.col("node") == F.col("j_node"), "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     leads = of.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("component_id"))
-    named = of.join(leads, F.col("component") == F.col("c")).select(F.col("fp").alias("n_fp"), "component_id")
-    out = prints.join(named, F.col("fp") == F.col("n_fp"))
-    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = of.join(leads, F.col("component") == F.col("c")).select(F.col("node").alias("n_node"), "component_id")
+    out = prints.withColumn("node", node).join(named, F.col("node") == F.col("n_node"))
+    digits = F.concat(*(F.lpad(F.lower(F.hex(f)), 16, "0") for f in fps))
+    return out.select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
+
+
+#: Near copies in a corpus: five-word shingles, 256 bits. Two texts with a Jaccard similarity s of shingles differ in about
+#: 256 * acos(2s / (1 + s)) / pi bits: 39 for 0.8, give or take 6.
+CORPUS = {"shingle": 5, "words_": 4, "radius": 42, "tables": 48}
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs with one row for each component: the one with the smallest id; of rows that repeat it, one."""
-    found = near_duplicates(docs, id_col, **options)
+    found = near_duplicates(docs, id_col, **CORPUS | options)
     # Rows that go, not those that stay: usually far fewer.
     marks = table(found.select(F.col(id_col).alias("_gs_id"), "component_id"), "members")
     gone = marks.filter("NOT (_gs_id <=> component_id)").select("_gs_id").distinct()
     out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gs_id")), "left_anti")
     repeated = marks.filter("_gs_id <=> component_id").groupBy("_gs_id").count().filter("count > 1").limit(1)
     return out.dropDuplicates([id_col]) if repeated.take(1) else out
-
-
