@@ -28,7 +28,7 @@ from .words import words
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 _MESSAGES = "block bigint, part int, payload binary, n array<bigint>"
 
 
