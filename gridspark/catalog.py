@@ -2,6 +2,269 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from collections.abc import Callable
+from datetime import date
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from .functions import scalar as x
+from .functions.values import serial_of_date
+from .operators import criteria, filters, lookup, pivot, profile, structure
+from .operators.filters import Blank, Custom, DateParts, Dynamic, Top, Values, auto_filter
+from .operators.pivot import PivotSpec
+from .plans import formula
+
+FLAGSHIP = "pivot_wide"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+#: Columns that name a row of lineitem.
+KEY = ["l_orderkey", "l_linenumber"]
+
+
+def add(name: str, table: str, plan: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: plan(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    ORACLE_SQL[name] = sql
+
+
+def add_many(name: str, tables: list[str], plan: Callable[..., DataFrame], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: plan(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables))
+    ORACLE_SQL[name] = sql
+
+
+def _r(c, places: int = 4):
+    return F.round(c, places)
+
+
+# Conditional aggregates
+_BY = {"l_returnflag": "R", "l_quantity": ">25"}
+_WHERE = "FILTER (WHERE lower(l_returnflag) = 'r' AND l_quantity > 25)"
+for _name, _agg, _sql in (
+    ("agg_sumifs", lambda d: criteria.sumifs(d, "l_extendedprice", _BY), f"coalesce(sum(l_extendedprice) {_WHERE}, 0)"),
+    ("agg_averageifs", lambda d: criteria.averageifs(d, "l_extendedprice", _BY), f"avg(l_extendedprice) {_WHERE}"),
+    ("agg_minifs", lambda d: criteria.minifs(d, "l_extendedprice", _BY), f"coalesce(min(l_extendedprice) {_WHERE}, 0)"),
+    ("agg_maxifs", lambda d: criteria.maxifs(d, "l_extendedprice", _BY), f"coalesce(max(l_extendedprice) {_WHERE}, 0)"),
+    ("agg_countifs", lambda d: criteria.countifs(d, _BY).cast("double"), f"count(*) {_WHERE}::DOUBLE"),
+    ("agg_sumif_glob", lambda d: criteria.sumifs(d, "l_quantity", {"l_linestatus": "<>o*"}), "coalesce(sum(l_quantity) FILTER (WHERE lower(l_linestatus) NOT LIKE 'o%'), 0)"),
+):
+    add(_name, "lineitem", lambda d, a=_agg: d.groupBy("l_linenumber").agg(_r(a(d), 2).alias("value")), f"SELECT l_linenumber, round({_sql}, 2) AS value FROM lineitem GROUP BY l_linenumber")
+for _name, _sql in {"SUM": "sum(l_quantity)", "COUNT": "count(l_quantity)::DOUBLE", "COUNTA": "count(l_quantity)::DOUBLE", "AVERAGE": "avg(l_quantity)", "MIN": "min(l_quantity)", "MAX": "max(l_quantity)"}.items():
+    add(f"agg_{_name.lower()}", "lineitem", lambda d, n=_name: d.groupBy("l_returnflag").agg(_r(criteria.numeric_aggregates(d, "l_quantity")[n]).alias("value")), f"SELECT l_returnflag, round({_sql}, 4) AS value FROM lineitem GROUP BY l_returnflag")
+add(
+    "agg_sumifs_per_row", "lineitem", lambda d: criteria.per_row(d.select(*KEY, "l_suppkey", "l_returnflag", "l_quantity"), ["l_suppkey", "l_returnflag"], "value", F.sum("l_quantity")).select(*KEY, "value"),
+    "SELECT l_orderkey, l_linenumber, sum(l_quantity) OVER (PARTITION BY l_suppkey, l_returnflag) AS value FROM lineitem",
+)
+
+# Pivots
+_ONE = lambda agg: f"CASE WHEN count(l_quantity) = 1 THEN 0 ELSE {agg} END"
+for _fn, _sql in {
+    "sum": "sum(l_quantity)", "count": "count(l_quantity)", "countNums": "count(l_quantity)", "average": "avg(l_quantity)", "max": "max(l_quantity)", "min": "min(l_quantity)",
+    "stdDev": _ONE("stddev_samp(l_quantity)"), "var": _ONE("var_samp(l_quantity)"), "stdDevp": "stddev_pop(l_quantity)", "varp": "var_pop(l_quantity)",
+}.items():
+    add(
+        f"pivot_{_fn.lower()}", "lineitem", lambda d, fn=_fn: pivot.pivot(d, PivotSpec(["l_returnflag"], [("l_quantity", fn)], ["l_linestatus"])).select("l_returnflag", "l_linestatus", _r(F.col(f"l_quantity_{fn}")).alias("value")),
+        f"SELECT l_returnflag, l_linestatus, round({_sql}, 4) AS value FROM lineitem GROUP BY ALL",
+    )
+add("pivot_product", "lineitem", lambda d: pivot.pivot(d.withColumn("f", 1 - F.col("l_discount")), PivotSpec(["l_orderkey"], [("f", "product")])).select("l_orderkey", _r(F.col("f_product"), 6).alias("value")), "SELECT l_orderkey, round(product(1 - l_discount), 6) AS value FROM lineitem GROUP BY l_orderkey")
+add(
+    "pivot_wide", "lineitem", lambda d: pivot.pivot_wide(d, PivotSpec(["l_returnflag"], [("l_quantity", "sum")], ["l_linestatus"]), ["F", "O"]),
+    "SELECT l_returnflag, sum(l_quantity) FILTER (WHERE l_linestatus = 'F') AS \"F\", sum(l_quantity) FILTER (WHERE l_linestatus = 'O') AS \"O\" FROM lineitem GROUP BY l_returnflag",
+)
+add(
+    "pivot_cube_totals", "lineitem", lambda d: pivot.pivot_totals(d, PivotSpec(["l_returnflag"], [("l_quantity", "sum")], ["l_linestatus"])),
+    "SELECT l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus)::BIGINT AS level, sum(l_quantity) AS l_quantity_sum FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
+)
+for _by, _sql in {"years": "year", "quarters": "quarter", "months": "month", "days": "day", "hours": "hour", "minutes": "minute", "seconds": "second"}.items():
+    _t, _c, _v = ("events", "ts", "value") if _by in ("hours", "minutes", "seconds") else ("orders", "o_orderdate", "o_totalprice")
+    add(f"pivot_date_group_{_by}", _t, lambda d, by=_by, c=_c, v=_v: d.groupBy(pivot.group_dates(F.col(c), by).alias("part")).agg(_r(F.sum(v), 2).alias("value")), f"SELECT {_sql}({_c})::BIGINT AS part, round(sum({_v}), 2) AS value FROM {_t} GROUP BY 1")
+add(
+    "pivot_range_group", "part", lambda d: d.groupBy(pivot.group_range(F.col("p_size"), 5, 44, 10).alias("range")).agg(F.count("*").alias("n")),
+    "SELECT CASE WHEN p_size < 5 THEN '<5' WHEN p_size > 44 THEN '>44' ELSE (5 + ((p_size - 5) // 10) * 10)::VARCHAR || '-' || least(5 + ((p_size - 5) // 10) * 10 + 9, 44)::VARCHAR END AS \"range\", count(*) AS n FROM part GROUP BY 1",
+)
+_CELLS = "WITH cells AS (SELECT l_returnflag, l_linenumber, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) SELECT l_returnflag, l_linenumber, round({}, 6) AS shown FROM cells"
+_ALONG = "OVER (PARTITION BY l_returnflag ORDER BY l_linenumber)"
+for _kind, _base, _sql in (
+    ("percentOfTotal", None, "v / sum(v) OVER ()"), ("percentOfRow", None, "v / sum(v) OVER (PARTITION BY l_returnflag)"), ("percentOfCol", None, "v / sum(v) OVER (PARTITION BY l_linenumber)"),
+    ("index", None, "v * sum(v) OVER () / (sum(v) OVER (PARTITION BY l_returnflag) * sum(v) OVER (PARTITION BY l_linenumber))"), ("runTotal", "l_linenumber", f"sum(v) {_ALONG}"),
+    ("difference", "l_linenumber", f"v - lag(v) {_ALONG}"), ("percent", "l_linenumber", f"v / lag(v) {_ALONG}"), ("percentDiff", "l_linenumber", f"(v - lag(v) {_ALONG}) / lag(v) {_ALONG}"),
+):
+    add(
+        f"pivot_show_{_kind.lower()}", "lineitem",
+        lambda d, k=_kind, b=_base: pivot.show_as(pivot.pivot(d, PivotSpec(["l_returnflag"], [("l_quantity", "sum")], ["l_linenumber"])), "l_quantity_sum", k, ["l_returnflag"], ["l_linenumber"], b).select("l_returnflag", "l_linenumber", _r(F.col("shown"), 6).alias("shown")),
+        _CELLS.format(_sql),
+    )
+add(
+    "pivot_page_filter", "lineitem", lambda d: pivot.pivot(d, PivotSpec(["l_returnflag"], [("l_quantity", "sum")], pages={"l_linestatus": ["O"], "l_linenumber": [1, 2]})),
+    "SELECT l_returnflag, sum(l_quantity) AS l_quantity_sum FROM lineitem WHERE l_linestatus = 'O' AND l_linenumber IN (1, 2) GROUP BY 1",
+)
+add(
+    "pivot_calculated_field", "lineitem", lambda d: pivot.pivot(d, PivotSpec(["l_returnflag"], [("l_extendedprice", "sum"), ("l_quantity", "sum")], calculated={"unit": "round(l_extendedprice_sum / l_quantity_sum, 4)"})).select("l_returnflag", "unit"),
+    "SELECT l_returnflag, round(sum(l_extendedprice) / sum(l_quantity), 4) AS unit FROM lineitem GROUP BY 1",
+)
+add("pivot_shared_items", "lineitem", lambda d: pivot.shared_items(d, "l_linenumber"), 'SELECT l_linenumber AS item, row_number() OVER (ORDER BY l_linenumber) - 1 AS "index" FROM (SELECT DISTINCT l_linenumber FROM lineitem)')
+
+# Filters
+_REF = date(1996, 5, 15)
+_D = "l_shipdate::DATE"
+_FILTERS: dict[str, tuple[dict, str]] = {
+    "blank": ({"l_returnflag": Blank()}, "l_returnflag IS NULL"),
+    "custom_num": ({"l_quantity": Custom([(">", "25")])}, "l_quantity > 25"),
+    "custom_text_glob": ({"l_returnflag": Custom([("=", "r*")])}, "l_returnflag ILIKE 'r%'"),
+    "custom_and": ({"l_quantity": Custom([(">", 10), ("<", 30)], both=True)}, "l_quantity > 10 AND l_quantity < 30"),
+    "custom_or": ({"l_quantity": Custom([("<", 3), (">=", 49)])}, "l_quantity < 3 OR l_quantity >= 49"),
+    "number_list": ({"l_quantity": Values([5, 7.0])}, "l_quantity IN (5, 7)"),
+    "string_list": ({"l_returnflag": Values(["a", "N"])}, "l_returnflag IN ('A', 'N')"),
+    "columns": ({"l_quantity": Custom([(">", 25)]), "l_shipdate": Dynamic("Q1")}, f"l_quantity > 25 AND quarter({_D}) = 1"),
+    "top_n": ({"l_extendedprice": Top(100)}, "l_extendedprice >= (SELECT min(v) FROM (SELECT l_extendedprice AS v FROM lineitem ORDER BY 1 DESC LIMIT 100))"),
+    "bottom_n": ({"l_extendedprice": Top(50, bottom=True)}, "l_extendedprice <= (SELECT max(v) FROM (SELECT l_extendedprice AS v FROM lineitem ORDER BY 1 LIMIT 50))"),
+    "top_pct": ({"l_extendedprice": Top(1, percent=True)}, "l_extendedprice >= (SELECT min(v) FROM (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice DESC) AS k, count(*) OVER () AS n FROM lineitem) WHERE k <= ceil(n / 100.0))"),
+    "above_avg": ({"l_extendedprice": Dynamic("aboveAverage")}, "l_extendedprice > (SELECT avg(l_extendedprice) FROM lineitem)"),
+    "below_avg": ({"l_extendedprice": Dynamic("belowAverage")}, "l_extendedprice < (SELECT avg(l_extendedprice) FROM lineitem)"),
+    "date_group": ({"l_shipdate": DateParts([(1995, 3), (1996,), (1994, 1, 5)])}, f"(year({_D}) = 1995 AND month({_D}) = 3) OR year({_D}) = 1996 OR {_D} = DATE '1994-01-05'"),
+}
+_WEEK = "(DATE '1996-05-15' - dayofweek(DATE '1996-05-15')::INT + {})"
+for _w, _k in (("this", 0), ("last", -1), ("next", 1)):
+    _FILTERS[f"dyn_{_w}_week"] = ({"l_shipdate": Dynamic(f"{_w}Week", _REF)}, f"{_D} >= {_WEEK.format(7 * _k)} AND {_D} < {_WEEK.format(7 * _k + 7)}")
+    for _u in ("month", "quarter", "year"):
+        _FILTERS[f"dyn_{_w}_{_u}"] = ({"l_shipdate": Dynamic(f"{_w}{_u.title()}", _REF)}, f"date_trunc('{_u}', {_D}) = date_trunc('{_u}', DATE '1996-05-15') + INTERVAL ({3 * _k if _u == 'quarter' else _k}) {'month' if _u == 'quarter' else _u}")
+for _w, _k in (("today", 0), ("tomorrow", 1), ("yesterday", -1)):
+    _FILTERS[f"dyn_{_w}"] = ({"l_shipdate": Dynamic(_w, _REF)}, f"{_D} = DATE '1996-05-15' + ({_k})")
+_FILTERS["dyn_ytd"] = ({"l_shipdate": Dynamic("yearToDate", _REF)}, f"{_D} BETWEEN DATE '1996-01-01' AND DATE '1996-05-15'")
+_FILTERS |= {f"dyn_q{k}": ({"l_shipdate": Dynamic(f"Q{k}")}, f"quarter({_D}) = {k}") for k in range(1, 5)}
+_FILTERS |= {f"dyn_m{k}": ({"l_shipdate": Dynamic(f"M{k}")}, f"month({_D}) = {k}") for k in range(1, 13)}
+for _name, (_f, _sql) in _FILTERS.items():
+    add(f"filter_{_name}", "lineitem", lambda d, f=_f: auto_filter(d, f).select(*KEY), f"SELECT l_orderkey, l_linenumber FROM lineitem WHERE {_sql}")
+
+# Sorts and top-k
+add(
+    "sort_multi", "orders", lambda d: filters.sort_rows(d.groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n")), [("o_orderpriority", True), ("n", False)]),
+    "SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL ORDER BY o_orderpriority DESC, n",
+)
+add("sort_first_rows", "orders", lambda d: filters.sort_rows(d, [("o_totalprice", True)], position="o_orderkey").limit(100).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+add("topk_ties", "part", lambda d: auto_filter(d, {"p_size": Top(30)}).select("p_partkey", "p_size"), "SELECT p_partkey, p_size FROM (SELECT *, rank() OVER (ORDER BY p_size DESC) AS k FROM part) WHERE k <= 30")
+
+# Lookups
+add_many(
+    "lookup_vlookup_exact", ["lineitem", "part"], lambda li, p: lookup.exact(li.select(*KEY, "l_partkey"), "l_partkey", p, "p_partkey", "p_brand", "p_partkey", "value").select(*KEY, "value", F.col("value_found").alias("found")),
+    "SELECT l_orderkey, l_linenumber, p_brand AS value, p_partkey IS NOT NULL AS found FROM lineitem LEFT JOIN part ON l_partkey = p_partkey",
+)
+add_many(
+    "lookup_xlookup_default", ["customer", "nation"], lambda c, n: lookup.exact(c, "c_mktsegment", n, "n_name", "n_nationkey", "n_nationkey", "value", default=-1).select("c_custkey", "value"),
+    "SELECT c_custkey, coalesce(n_nationkey, -1) AS value FROM customer LEFT JOIN nation ON lower(c_mktsegment) = lower(n_name)",
+)
+for _name, _last, _fn in (("lookup_xlookup_first", False, "min"), ("lookup_xlookup_reverse", True, "max")):
+    add_many(
+        _name, ["customer", "orders"], lambda c, o, last=_last: lookup.exact(c, "c_custkey", o, "o_custkey", "o_totalprice", "o_orderkey", "value", last=last).select("c_custkey", "value"),
+        f"SELECT c_custkey, arg_{_fn}(o_totalprice, o_orderkey) AS value FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey",
+    )
+add_many(
+    "lookup_match_exact", ["lineitem", "supplier"], lambda li, s: lookup.exact(li, "l_suppkey", s, "s_suppkey", "s_name", "s_suppkey", "v").select(*KEY, F.col("v_position").alias("position")),
+    "SELECT l_orderkey, l_linenumber, s_suppkey AS position FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey",
+)
+for _name, _larger, _sql in (
+    ("lookup_xlookup_next_smaller", False, "SELECT o_orderkey, p_partkey AS value FROM orders LEFT JOIN (SELECT p_retailprice * 100 AS k, min(p_partkey) AS p_partkey FROM part GROUP BY 1) ON k = (SELECT max(p_retailprice * 100) FROM part WHERE p_retailprice * 100 <= o_totalprice)"),
+    ("lookup_xlookup_next_larger", True, "SELECT o_orderkey, p_partkey AS value FROM orders LEFT JOIN (SELECT p_retailprice * 100 AS k, min(p_partkey) AS p_partkey FROM part GROUP BY 1) ON k = (SELECT min(p_retailprice * 100) FROM part WHERE p_retailprice * 100 >= o_totalprice)"),
+):
+    add_many(_name, ["orders", "part"], lambda o, p, larger=_larger: lookup.nearest(o, "o_totalprice", p.withColumn("k", F.col("p_retailprice") * 100), "k", "p_partkey", "p_partkey", "value", larger=larger).select("o_orderkey", "value"), _sql)
+add_many(
+    "lookup_vlookup_approx", ["orders", "part"], lambda o, p: lookup.nearest(o, "o_totalprice", p.withColumn("k", F.col("p_retailprice") * 100), "k", "p_brand", "p_partkey", "value", by_position=True).select("o_orderkey", "value"),
+    "WITH t AS (SELECT k, max(p) OVER (ORDER BY k) AS p FROM (SELECT p_retailprice * 100 AS k, max(p_partkey) AS p FROM part GROUP BY 1)) SELECT o_orderkey, p_brand AS value FROM orders ASOF LEFT JOIN t ON o_totalprice >= t.k LEFT JOIN part ON p_partkey = t.p",
+)
+add("lookup_xlookup_wildcard", "part", lambda d: lookup.wildcard(d, "p_name", "p_retailprice", "p_partkey", "*a?e*"), "SELECT arg_min(p_retailprice, p_partkey) AS value, min(p_partkey) AS position FROM part WHERE lower(p_name) LIKE '%a_e%'")
+add("lookup_index", "part", lambda d: lookup.index(d, "p_partkey", 77, "p_name"), "SELECT p_name AS value FROM part WHERE p_partkey = 77")
+add("lookup_choose", "part", lambda d: d.select("p_partkey", x.choose((F.col("p_size") % 4) + 1, F.lit("a"), F.lit("b"), F.lit("c")).alias("value")), "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'c' END AS value FROM part")
+add("lookup_offset", "orders", lambda d: lookup.offset(d, "o_totalprice", -1, "value", ["o_custkey"], ["o_orderkey"]).select("o_orderkey", "value"), "SELECT o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS value FROM orders")
+
+# Scalar functions
+_A, _B, _N = (lambda: F.col("c_acctbal")), (lambda: F.col("c_nationkey")), (lambda: F.col("c_name"))
+_S = lambda: serial_of_date(F.col("o_orderdate"))
+_SER = "(o_orderdate::DATE - DATE '1899-12-30')"
+for _name, _t, _c, _sql in (
+    ("abs", "customer", lambda: x.abs_(_A()), "abs(c_acctbal)"), ("round", "customer", lambda: x.round_(_A(), 0), "round_even(c_acctbal, 0)"), ("roundup", "customer", lambda: x.roundup(_A()), "ceil(c_acctbal)"),
+    ("rounddown", "customer", lambda: x.rounddown(_A()), "trunc(c_acctbal)"), ("int", "customer", lambda: x.int_(_A()), "floor(c_acctbal)"), ("mod", "customer", lambda: x.round_(x.mod(_A(), _B()), 6), "CASE WHEN c_nationkey <> 0 THEN round(c_acctbal - c_nationkey * floor(c_acctbal / c_nationkey), 6) END"),
+    ("power", "customer", lambda: x.round_(x.power(_B(), F.lit(1.5)), 6), "round(pow(c_nationkey, 1.5), 6)"), ("sqrt", "customer", lambda: x.round_(x.sqrt(_A()), 6), "CASE WHEN c_acctbal >= 0 THEN round(sqrt(greatest(c_acctbal, 0)), 6) END"), ("sign", "customer", lambda: x.sign(_A()), "sign(c_acctbal)::DOUBLE"),
+    ("divide", "customer", lambda: x.round_(x.div(_A(), _B()), 6), "CASE WHEN c_nationkey <> 0 THEN round(c_acctbal / c_nationkey, 6) END"),
+    ("divide_error", "customer", lambda: x.ERRORS["/"](_A(), _B()), "CASE WHEN c_nationkey = 0 THEN '#DIV/0!' END"), ("iferror", "customer", lambda: x.round_(x.iferror(x.div(_A(), _B()), x.ERRORS["/"](_A(), _B()), F.lit(-1.0)), 6), "CASE WHEN c_nationkey <> 0 THEN round(c_acctbal / c_nationkey, 6) ELSE -1 END"),
+    ("if", "customer", lambda: x.if_(_A() > 0, F.lit("credit"), F.lit("debit")), "CASE WHEN c_acctbal > 0 THEN 'credit' ELSE 'debit' END"), ("and", "customer", lambda: x.and_(_A() > 0, _B() > 5), "c_acctbal > 0 AND c_nationkey > 5"), ("or", "customer", lambda: x.or_(_A() > 0, _B() > 5), "c_acctbal > 0 OR c_nationkey > 5"), ("not", "customer", lambda: x.not_(_A() > 0), "NOT c_acctbal > 0"),
+    ("left", "customer", lambda: x.left(_N(), 5), "left(c_name, 5)"), ("right", "customer", lambda: x.right(_N(), 4), "right(c_name, 4)"), ("mid", "customer", lambda: x.mid(_N(), 3, 6), "substr(c_name, 3, 6)"), ("len", "customer", lambda: x.len_(_N()), "length(c_name)::DOUBLE"),
+    ("concatenate", "customer", lambda: x.concatenate(_N(), F.lit("/"), F.col("c_mktsegment")), "c_name || '/' || c_mktsegment"), ("upper", "customer", lambda: x.upper(_N()), "upper(c_name)"), ("lower", "customer", lambda: x.lower(_N()), "lower(c_name)"),
+    ("trim", "customer", lambda: x.trim(F.concat(F.lit("  "), _N(), F.lit("   x "))), "c_name || ' x'"), ("substitute", "customer", lambda: x.substitute(_N(), "0", "o"), "replace(c_name, '0', 'o')"), ("substitute_nth", "customer", lambda: x.substitute(F.lit("a-b-c-d"), "-", "+", 2), "'a-b+c-d'"),
+    ("rept", "customer", lambda: x.rept(F.lit("x"), _B() % 4), "repeat('x', (c_nationkey % 4)::BIGINT)"), ("exact", "customer", lambda: x.exact(F.col("c_mktsegment"), F.lit("BUILDING")), "c_mktsegment = 'BUILDING'"), ("find", "customer", lambda: x.find("0", _N()), "CASE WHEN instr(c_name, '0') > 0 THEN instr(c_name, '0')::DOUBLE END"),
+    ("text_percent", "customer", lambda: x.text(_B() / 8, "0.0%"), "format('{:.1f}%', c_nationkey / 8 * 100)"), ("text_grouped", "customer", lambda: x.text(_B() * 12345, "#,##0.00"), "format('{:,.2f}', (c_nationkey * 12345)::DOUBLE)"),
+    ("sln", "customer", lambda: x.round_(x.sln(_A(), F.lit(100.0), F.lit(7.0)), 6), "round((c_acctbal - 100) / 7, 6)"), ("pv", "customer", lambda: x.round_(x.pv(F.lit(0.05), F.lit(10), _A()), 4), "round(-c_acctbal * (pow(1.05, 10) - 1) / 0.05 / pow(1.05, 10), 4)"),
+    ("fv", "customer", lambda: x.round_(x.fv(F.lit(0.05), F.lit(10), _A()), 4), "round(-c_acctbal * (pow(1.05, 10) - 1) / 0.05, 4)"), ("pmt", "customer", lambda: x.round_(x.pmt(F.lit(0.05), F.lit(10), _A()), 4), "round(-c_acctbal * pow(1.05, 10) * 0.05 / (pow(1.05, 10) - 1), 4)"),
+    ("npv", "customer", lambda: x.round_(x.npv(F.lit(0.1), F.array(_A(), _B().cast("double"), F.lit(5.0))), 6), "round(c_acctbal / 1.1 + c_nationkey / pow(1.1, 2) + 5 / pow(1.1, 3), 6)"),
+    ("year", "orders", lambda: x.year(_S()), "year(o_orderdate)::DOUBLE"), ("month", "orders", lambda: x.month(_S()), "month(o_orderdate)::DOUBLE"), ("day", "orders", lambda: x.day(_S()), "day(o_orderdate)::DOUBLE"), ("date", "orders", lambda: x.date(F.year("o_orderdate"), F.month("o_orderdate") + 14, F.lit(31)), "(last_day((date_trunc('month', o_orderdate) + INTERVAL 14 MONTH)::DATE) - DATE '1899-12-30')::DOUBLE"),
+    ("edate", "orders", lambda: x.edate(_S(), 3), "((o_orderdate::DATE + INTERVAL 3 MONTH)::DATE - DATE '1899-12-30')::DOUBLE"), ("eomonth", "orders", lambda: x.eomonth(_S(), 1), "(last_day((o_orderdate::DATE + INTERVAL 1 MONTH)::DATE) - DATE '1899-12-30')::DOUBLE"), ("days", "orders", lambda: x.days(_S(), F.lit(30000.0)), f"({_SER} - 30000)::DOUBLE"),
+    ("hour", "events", lambda: x.hour(F.hour("ts") / F.lit(24.0)), "hour(ts)::DOUBLE"), ("minute", "events", lambda: x.minute(F.minute("ts") / F.lit(1440.0)), "minute(ts)::DOUBLE"), ("second", "events", lambda: x.second(F.floor(F.second("ts")) / F.lit(86400.0)), "second(ts)::DOUBLE"),
+):
+    _key = {"customer": "c_custkey", "orders": "o_orderkey", "events": "event_id"}[_t]
+    add(f"fn_{_name}", _t, lambda d, c=_c, k=_key: d.select(k, c().alias("value")), f"SELECT {_key}, {_sql} AS value FROM {_t}")
+add(
+    "fn_irr", "orders", lambda d: d.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("o")).select("o_custkey", x.irr(F.concat(F.array(F.lit(-200000.0)), F.transform("o", lambda s: s.o_totalprice))).alias("rate")),
+    "",
+)
+add("fn_db", "customer", lambda d: d.select("c_custkey", _r(x.db(F.lit(10000.0), F.lit(1000.0), F.lit(6.0), (_B() % 6) + 1), 2).alias("value")), "")
+del ORACLE_SQL["fn_irr"]
+ORACLE_SQL["fn_db"] = "SELECT c_custkey, round(10000 * pow(1 - round(1 - pow(0.1, 1 / 6.0), 3), c_nationkey % 6) * round(1 - pow(0.1, 1 / 6.0), 3), 2) AS value FROM customer"
+
+# Profiles and samples
+add(
+    "profile_schema", "part", lambda d: profile.profile(d.select("p_name", "p_brand", "p_size", "p_retailprice")),
+    "WITH c AS (SELECT 'p_name' AS name, 'string' AS type, p_name::VARCHAR AS v FROM part UNION ALL SELECT 'p_brand', 'string', p_brand::VARCHAR FROM part UNION ALL SELECT 'p_size', 'int', p_size::VARCHAR FROM part UNION ALL SELECT 'p_retailprice', 'float', p_retailprice::VARCHAR FROM part), a AS (SELECT name, type, count(*) - count(v) AS null_count, count(v) AS filled, count(DISTINCT v) AS d FROM c GROUP BY ALL) SELECT name, type, null_count, least(d, 10000) AS unique_count, d > 10000 AS unique_capped, CASE WHEN d > 10000 THEN 'high' WHEN d = filled THEN 'unique' WHEN d <= 20 AND 2 * d <= filled THEN 'categorical' ELSE 'high' END AS cardinality FROM a",
+)
+add("profile_classify", "nation", profile.classify, "SELECT count(*) AS rows, 3::BIGINT AS cols, 1.0::DOUBLE AS density, 'data' AS class FROM nation")
+add("sample_stratified", "region", lambda d: profile.stratified(d.withColumn("p", F.col("r_regionkey") + 1), "p", 2, head=1, tail=1).select("r_regionkey"), "SELECT r_regionkey FROM region WHERE r_regionkey IN (1, 3)")
+add("head_tail", "nation", lambda d: d.orderBy("n_nationkey").limit(3).unionByName(d.orderBy(F.desc("n_nationkey")).limit(2)), "SELECT * FROM nation WHERE n_nationkey < 3 OR n_nationkey >= (SELECT count(*) - 2 FROM nation)")
+add("dedup_ordered", "lineitem", lambda d: d.groupBy("l_returnflag").agg(F.min("l_orderkey").alias("first")), "SELECT l_returnflag, min(l_orderkey) AS first FROM lineitem GROUP BY 1")
+
+# Formulas filled down
+_ORD = lambda d: d.select("o_orderkey", "o_custkey", "o_totalprice")
+add("formula_fill_down", "orders", lambda d: formula.fill_down(_ORD(d), "value", "=ROUND(IF(C2>100000,C2*0.9,C2*1.1),2)+LEN(A2&\"x\")", "o_orderkey").select("o_orderkey", _r(F.col("value"), 2).alias("value")), "SELECT o_orderkey, round(round_even(CASE WHEN o_totalprice > 100000 THEN o_totalprice * 0.9 ELSE o_totalprice * 1.1 END, 2) + length(o_orderkey::VARCHAR || 'x'), 2) AS value FROM orders")
+add("formula_running_total", "orders", lambda d: formula.fill_down(_ORD(d), "value", "=SUM(C$2:C2)", "o_orderkey", partition=["o_custkey"]).select("o_orderkey", _r(F.col("value"), 2).alias("value")), "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 2) AS value FROM orders")
+add("formula_relative_rows", "orders", lambda d: formula.fill_down(_ORD(d), "value", "=C3-C2", "o_orderkey", row=3, partition=["o_custkey"]).select("o_orderkey", _r(F.col("value"), 2).alias("value")), "SELECT o_orderkey, round(o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 2) AS value FROM orders")
+add("formula_whole_column", "orders", lambda d: formula.fill_down(_ORD(d), "value", "=C2/SUM(C:C)", "o_orderkey", partition=["o_custkey"]).select("o_orderkey", _r(F.col("value"), 6).alias("value")), "SELECT o_orderkey, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS value FROM orders")
+add_many(
+    "formula_cross_sheet", ["customer", "orders"],
+    lambda c, o: formula.fill_down(c.join(o.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("t")), F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_acctbal", "t"), "value", "=B2+C2", "c_custkey").select("c_custkey", _r(F.col("value"), 2).alias("value")),
+    "SELECT c_custkey, round(c_acctbal + t, 2) AS value FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY 1) ON c_custkey = o_custkey",
+)
+
+
+def _recalculated(d: DataFrame) -> DataFrame:
+    edited = d.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 1000 == 7, F.lit(0.0)).otherwise(F.col("o_totalprice")))
+    run = lambda t: formula.fill_down(_ORD(t), "value", "=SUM(C$2:C2)", "o_orderkey", partition=["o_custkey"]).withColumn("value", _r(F.col("value"), 2))
+    return formula.changed(run(d), run(edited), ["o_orderkey"], "value")
+
+
+_RUN = "round(sum({}) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 2)"
+add("recalc_deltas", "orders", _recalculated, f"SELECT * FROM (SELECT o_orderkey, {_RUN.format('o_totalprice')} AS old, {_RUN.format('CASE WHEN o_orderkey % 1000 = 7 THEN 0 ELSE o_totalprice END')} AS new FROM orders) WHERE old <> new")
+
+# Sheet edits
+_CELL = lambda d: structure.to_long(d, "n_nationkey", ["n_name", "n_regionkey"])
+_LONG = "WITH c AS (SELECT n_nationkey::BIGINT AS \"row\", 1 AS col, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 2, n_regionkey::VARCHAR FROM nation) "
+for _name, _f, _sql in (
+    ("insert_rows", lambda c: structure.insert(c, "row", 5, 2), 'SELECT CASE WHEN "row" >= 5 THEN "row" + 2 ELSE "row" END AS "row", col, value FROM c'),
+    ("delete_rows", lambda c: structure.delete(c, "row", 5, 3), 'SELECT CASE WHEN "row" >= 8 THEN "row" - 3 ELSE "row" END AS "row", col, value FROM c WHERE "row" < 5 OR "row" >= 8'),
+    ("insert_cols", lambda c: structure.insert(c, "col", 2, 1), 'SELECT "row", CASE WHEN col >= 2 THEN col + 1 ELSE col END AS col, value FROM c'),
+    ("delete_cols", lambda c: structure.delete(c, "col", 1, 1), 'SELECT "row", col - 1 AS col, value FROM c WHERE col > 1'),
+    ("move_range", lambda c: structure.move(c, structure.Range(2, 1, 4, 1), 10, 0), 'SELECT CASE WHEN "row" BETWEEN 2 AND 4 AND col = 1 THEN "row" + 10 ELSE "row" END AS "row", col, value FROM c WHERE NOT ("row" BETWEEN 12 AND 14 AND col = 1)'),
+    ("copy_sheet", lambda c: c.withColumn("sheet", F.lit("Sheet")).unionByName(c.withColumn("sheet", F.lit("Sheet Copy"))), "SELECT *, 'Sheet' AS sheet FROM c UNION ALL SELECT *, 'Sheet Copy' FROM c"),
+):
+    add(f"struct_{_name}", "nation", lambda d, f=_f: f(_CELL(d)), _LONG + _sql)
+
+
+def _ranges(d: DataFrame) -> DataFrame:
+    box = lambda o: [(F.col("p_size") % 7 + o, F.col("p_partkey") % 5 + o), (F.col("p_size") % 7 + o + 4, F.col("p_partkey") % 5 + o + 3)]
+    (t, l), (b, r) = box(0)  # noqa: E741
+    top, left, bottom, right = (F.greatest(t, F.lit(3)), F.greatest(l, F.lit(2)), F.least(b, F.lit(8)), F.least(r, F.lit(6)))
+    disjoint = (top > bottom) | (left > right)
+    return d.select("p_partkey", F.when(~disjoint, (bottom - top + 1) * (right - left + 1)).otherwise(0).cast("bigint").alias("common"), disjoint.alias("disjoint"), ((t >= 3) & (b <= 8) & (l >= 2) & (r <= 6)).alias("inside"))
+
+
+add(
+    "set_ranges", "part", _ranges,
+    "SELECT p_partkey, CASE WHEN t2 <= b2 AND l2 <= r2 THEN (b2 - t2 + 1) * (r2 - l2 + 1) ELSE 0 END::BIGINT AS common, t2 > b2 OR l2 > r2 AS disjoint, t >= 3 AND t + 4 <= 8 AND l >= 2 AND l + 3 <= 6 AS inside FROM (SELECT *, greatest(t, 3) AS t2, greatest(l, 2) AS l2, least(t + 4, 8) AS b2, least(l + 3, 6) AS r2 FROM (SELECT p_partkey, p_size % 7 AS t, p_partkey % 5 AS l FROM part))",
+)
+add("window_above_group_mean", "lineitem", lambda d: d.withColumn("m", F.avg("l_quantity").over(W.partitionBy("l_suppkey"))).filter("l_quantity > m").select(*KEY), "SELECT l_orderkey, l_linenumber FROM (SELECT *, avg(l_quantity) OVER (PARTITION BY l_suppkey) AS m FROM lineitem) WHERE l_quantity > m")
