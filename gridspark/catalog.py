@@ -221,7 +221,7 @@ add("dedup_ordered", "lineitem", lambda d: d.groupBy("l_returnflag").agg(F.min("
 
 # Formulas filled down
 _ORD = lambda d: d.select("o_orderkey", "o_custkey", "o_totalprice")
-add("formula_fill_down", "orders", lambda d: formula.fill_down(_ORD(d), "value", "=ROUND(IF(C2>100000,C2*0.9,C2*1.1),2)+LEN(A2&\"x\")", "o_orderkey").select("o_orderkey", _r(F.col("value"), 2).alias("value")), "SELECT o_orderkey, round(round_even(CASE WHEN o_totalprice > 100000 THEN o_totalprice * 0.9 ELSE o_totalprice * 1.1 END, 2) + length(o_orderkey::VARCHAR || 'x'), 2) AS value FROM orders")
+add("formula_fill_down", "orders", lambda d: formula.fill_down(_ORD(d), "value", "=ROUND(IF(C2>100000,C2/3,C2/7),2)+LEN(A2&\"x\")", "o_orderkey").select("o_orderkey", _r(F.col("value"), 2).alias("value")), "SELECT o_orderkey, round(round_even(CASE WHEN o_totalprice > 100000 THEN o_totalprice / 3 ELSE o_totalprice / 7 END, 2) + length(o_orderkey::VARCHAR || 'x'), 2) AS value FROM orders")
 add("formula_running_total", "orders", lambda d: formula.fill_down(_ORD(d), "value", "=SUM(C$2:C2)", "o_orderkey", partition=["o_custkey"]).select("o_orderkey", _r(F.col("value"), 2).alias("value")), "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 2) AS value FROM orders")
 add("formula_relative_rows", "orders", lambda d: formula.fill_down(_ORD(d), "value", "=C3-C2", "o_orderkey", row=3, partition=["o_custkey"]).select("o_orderkey", _r(F.col("value"), 2).alias("value")), "SELECT o_orderkey, round(o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 2) AS value FROM orders")
 add("formula_whole_column", "orders", lambda d: formula.fill_down(_ORD(d), "value", "=C2/SUM(C:C)", "o_orderkey", partition=["o_custkey"]).select("o_orderkey", _r(F.col("value"), 6).alias("value")), "SELECT o_orderkey, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS value FROM orders")

@@ -343,7 +343,7 @@ def npv(rate, values: Column):
 
 @function
 def irr(values: Column):
-    """The rate at which an array of values, the first at period 0, is worth nothing: by 200 bisections of [-0.999, 10] inside
+    """The rate at which an array of values, the first at period 0, is worth nothing: by 60 bisections of [-0.999, 10] inside
     the expression. NULL without a change of sign there (a spreadsheet says #NUM!)."""
 
     def worth(r):
@@ -356,7 +356,7 @@ def irr(values: Column):
 
     low, high = F.lit(-0.999), F.lit(10.0)
     start = F.struct(low.alias("low"), high.alias("high"), worth(low).alias("at"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(100)), start, half, lambda s: (s.low + s.high) / 2)
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, half, lambda s: (s.low + s.high) / 2)
     return F.when(worth(low) * worth(high) <= 0, found)
 
 
