@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slot
-from .words import bytes_of
+from .words import bytes_of, slices
 
 UNKNOWN = "und"
 #: The byte that stands for the start of a text (never part of UTF-8).
 START = 0xFF
 #: Bytes scored at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 
 
 @dataclass
@@ -118,15 +118,15 @@ def code_lengths(trees: Trees, texts: pa.Array) -> np.ndarray:
     if not len(data):
         return out
     flat = trees.bits.reshape(-1, len(trees.languages))
-    begin = np.zeros(len(data) + 1, bool)
-    begin[offsets[:-1]] = True
     start = trees.symbol[START]
-    owner = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets))
     for at in range(0, len(data), AT_ONCE):
         stop = min(at + AT_ONCE, len(data))
         low = max(0, at - trees.order)
         s = trees.symbol[data[low:stop]]
-        place = np.arange(low, stop) - offsets[owner[low:stop]]
+        first, last = np.searchsorted(offsets, (low, stop - 1), side="right") - 1
+        inside = np.minimum(offsets[first + 1 : last + 2], stop) - np.maximum(offsets[first : last + 1], low)
+        owner = np.repeat(np.arange(first, last + 1), inside)
+        place = np.arange(low, stop) - offsets[owner]
         n = stop - at
         context = np.zeros(n, np.int64)
         for k in range(1, trees.order + 1):
@@ -135,7 +135,7 @@ def code_lengths(trees: Trees, texts: pa.Array) -> np.ndarray:
             context += before * width ** (k - 1)
         rows = trees.node[context].astype(np.int64) * width + s[at - low :]
         got = flat[rows]
-        own = owner[at:stop]
+        own = owner[at - low :]
         cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         out[own[cuts]] += np.add.reduceat(got, cuts, axis=0, dtype=np.float64)
     return out
@@ -170,8 +170,9 @@ def identify(docs: DataFrame, train=None, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, score, per = predict(shared.value, batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pred, score, per], [id_col, "lang_pred", "score", "bits_per_byte"])
+            for a, b in slices(batch.column(1)):
+                pred, score, per = predict(shared.value, batch.column(1).slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pred, score, per], [id_col, "lang_pred", "score", "bits_per_byte"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"`{id_col}` bigint, lang_pred string, score double, bits_per_byte double")
@@ -186,8 +187,8 @@ def keep_identified(docs: DataFrame, text_col: str = "text", **options) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred, _, _ = predict(shared.value, batch.column(at))
-            yield batch.filter(pc.not_equal(pred, UNKNOWN))
+            keep = [predict(shared.value, batch.column(at).slice(a, b - a))[0] for a, b in slices(batch.column(at))]
+            yield batch.filter(pc.not_equal(pa.concat_arrays(keep), UNKNOWN)) if keep else batch
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .words import bytes_of, fresh, owners, sums, words
+from .words import bytes_of, fresh, owners, slices, sums, words
 
 SYMBOLS = "#*$%&|<>"
 NEAREST = 0.75
@@ -91,8 +91,10 @@ def statistics(docs: DataFrame, id_col: str, text_col: str, group_cols: tuple[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = text_counts(batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(counts[c].astype(np.int64)) for c in _COUNTS)], names)
+            for a, b in slices(batch.column(batch.num_columns - 1)):
+                part = batch.slice(a, b - a)
+                counts = text_counts(part.column(part.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(counts[c].astype(np.int64)) for c in _COUNTS)], names)
 
     names = ["id", *(f"g{i}" for i in range(len(group_cols))), *_COUNTS]
     rows = docs.select(

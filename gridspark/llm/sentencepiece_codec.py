@@ -25,15 +25,15 @@ from sentencepiece import sentencepiece_model_pb2
 
 from .common import table
 from .ragged import PairTable, gather
-from .words import fresh
+from .words import fresh, slices
 
 SPACE = "▁"
 #: Units whose pieces a worker keeps, and the longest one kept.
-KEPT, LONGEST_KEPT = 400_000, 48
+KEPT, LONGEST_KEPT = 250_000, 48
 #: A text of more characters is cut into chunks of this size.
 CHUNK = 32_768
-#: Texts encoded at once.
-ROWS = 2048
+#: Bytes of text encoded at once.
+AT_ONCE = 6 << 20
 NO = -np.inf
 
 
@@ -258,20 +258,19 @@ class Codec:
         back = self.reach(text, (safe[1], safe[1]), high, len(text))
         return enter[:, None] + np.array([0.0 if r in back else NO for r in right])[None, :]
 
-    def trace(self, before: str, chunk: str, after: str, enter: int, leave: int) -> list[str]:
-        """Pieces that begin in this chunk, given the states at its two boundaries."""
+    def trace(self, before: str, chunk: str, after: str, enter: int, leave: int) -> list[int]:
+        """Ids of the pieces that begin in this chunk, given the states at its two boundaries."""
+        ids = lambda pieces: [i for a, b in pieces if a >= low for i in self.id_of(text[a:b])]
         text, low, high, left, right = self._edges(before, chunk, after)
         safe = self._safe(text, low, high)
         first, last = left[enter], right[leave]
         if safe is None:
             pieces = self._trace(self.reach(text, first, high, len(text)), last)
-            return [text[a:b] for a, b in pieces if a >= low]
+            return ids(pieces)
         back = self.reach(text, first, safe[0], safe[0])
         (turn,) = [p for p in back if p[1] == safe[0]]
-        head = [text[a:b] for a, b in self._trace(back, turn) if a >= low]
-        middle = [p for u in self.units.findall(text[safe[0] : safe[1]]) for p in (self.merge(u) if len(u) <= LONGEST_KEPT else self.path(u))]
-        tail = [text[a:b] for a, b in self._trace(self.reach(text, (safe[1], safe[1]), high, len(text)), last)]
-        return head + middle + tail
+        middle = self.encode_units(self.units.findall(text[safe[0] : safe[1]]))[0].tolist()
+        return ids(self._trace(back, turn)) + middle + ids(self._trace(self.reach(text, (safe[1], safe[1]), high, len(text)), last))
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -321,13 +320,13 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                texts = batch.column(1).slice(at, ROWS)
+            for a, b in slices(batch.column(1), AT_ONCE):
+                texts = batch.column(1).slice(a, b - a)
                 ids, ends = c.encode_all(texts)
                 decoded = c.decode_all(ids, ends)
                 same = [d == (t.as_buffer() or b"") for d, t in zip(decoded, texts, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, ROWS), pa.array(np.diff(ends), pa.int64()), lists, pa.array([hashlib.sha256(d).hexdigest() for d in decoded]), pa.array(same)], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(ends), pa.int64()), lists, pa.array([hashlib.sha256(d).hexdigest() for d in decoded]), pa.array(same)], names)
 
     names = [id_col, "n_tokens", "ids", "decoded_sha256", "round_trip"]
     schema = f"`{id_col}` bigint, n_tokens bigint, ids array<int>, decoded_sha256 string, round_trip boolean"
@@ -362,7 +361,7 @@ def _giants(rows: DataFrame, model: str, id_col: str, chunk: int, schema: str) -
         c = codec(model)
         for batch in batches:
             d = {n: batch.column(n).to_pylist() for n in ("before", "chunk", "after", "enter", "leave")}
-            ids = [[i for p in c.trace(*x) for i in c.id_of(p)] for x in zip(*d.values(), strict=True)]
+            ids = [c.trace(*x) for x in zip(*d.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("k"), pa.array(ids, pa.list_(pa.int32()))], ["row", "id", "k", "ids"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .components import components, forest
-from .words import bytes_of, words
+from .words import bytes_of, slices, words
 
 BITS = 64
 #: Fingerprints of a bucket that one task compares; larger buckets become pairs of tiles of this size.
@@ -230,7 +230,8 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = fingerprints(batch.column(1), shingle, seed, words_).view(np.int64)
+            parts = [fingerprints(batch.column(1).slice(a, b - a), shingle, seed, words_) for a, b in slices(batch.column(1))]
+            fp = np.concatenate(parts or [np.zeros((0, words_), np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(words_))], names)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ragged import PairTable
-from .words import fresh, sums
+from .words import fresh, slices, sums
 
 #: The pattern of the byte-level pre-tokenizer (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A white-space character, as the pattern's \\s or any library's near it has it.
 WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 #: Pieces whose counts a worker keeps, and the longest such piece.
-KEPT, LONGEST_KEPT = 600_000, 64
+KEPT, LONGEST_KEPT = 500_000, 64
 #: Symbols laid out at once.
 AT_ONCE = 4_000_000
 
@@ -142,7 +142,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int, id_col: str = "doc_id"
         bpe = merges(model)
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
-            counts = bpe.tokens(texts)
+            counts = np.concatenate([np.zeros(0, np.int64), *(bpe.tokens(texts.slice(a, b - a)) for a, b in slices(texts, 8 << 20))])
             sizes = pc.binary_length(texts).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), sizes, pa.array(counts, pa.int64()), pa.array(counts > limit)],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,6 +24,17 @@ def _first(texts: pa.Array) -> int:
     return int(np.frombuffer(buffer, np.int64 if pa.types.is_large_string(texts.type) else np.int32, 1)[0])
 
 
+def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most `most` bytes in all (or one longer text): what is worked on at once has a bound."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
+        yield at, stop
+        at = stop
+    pa.default_memory_pool().release_unused()
+
+
 def words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
     """All words of all texts, and where each text's words begin (one more entry than texts). A null text has none."""
     texts = fresh(texts)
