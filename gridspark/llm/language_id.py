@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slot
+from .common import slot, table
 from .words import bytes_of, slices
 
 UNKNOWN = "und"
@@ -144,9 +144,12 @@ def code_lengths(trees: Trees, texts: pa.Array) -> np.ndarray:
 def training_sample(docs: DataFrame, train, id_col: str, text_col: str, lang_col: str, max_docs: int, max_bytes: int) -> dict[str, list[bytes]]:
     """Whole texts for each language, at most max_docs of at most max_bytes each, chosen by a hash of text."""
     able = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= max_bytes))
-    slim = able.select(F.col(lang_col).alias("l"), F.xxhash64(text_col).alias("h")).distinct()
-    # Each task keeps max_docs rows a language at most before the ranks are taken.
-    picked = slim.selectExpr("l", "h", "row_number() OVER (PARTITION BY l ORDER BY h) AS r").filter(F.col("r") <= max_docs).select("l", "h")
+    slim = table(able.select(F.col(lang_col).alias("l"), F.xxhash64(text_col).alias("h")).distinct(), "hashes")
+    # The least hashes of a language lie in a share of their range that holds many times as many as are wanted; only those
+    # meet where ranks are taken. A language with fewer keeps them all. One row a language is less than the trees hold.
+    share = slim.groupBy(F.col("l").alias("s_l")).agg(F.expr(f"least(1D, {8 * max_docs + 64}D / count(*))").alias("share"))
+    low = slim.join(F.broadcast(share), F.col("l") == F.col("s_l")).filter("h <= (share * 2 - 1) * 9223372036854775807D")
+    picked = low.selectExpr("l", "h", "row_number() OVER (PARTITION BY l ORDER BY h) AS r").filter(F.col("r") <= max_docs).select("l", "h")
     rows = able.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("k")).join(
         F.broadcast(picked), (F.col("lang") == F.col("l")) & (F.col("k") == F.col("h"))
     ).groupBy("lang", "k").agg(F.first("text").alias("text"))
