@@ -79,6 +79,22 @@ def _offsets_applied(at: DataFrame, group: str, out: str) -> DataFrame:
     )
 
 
+#: Most rows of a table that join_groups() broadcasts: of a few hundred bytes each, tens of megabytes.
+BROADCAST_ROWS = 50_000
+#: Beyond that, the parts a group's rows are dealt over.
+SALTS = 32
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, n: int, left: str, right: str, how: str = "inner") -> DataFrame:
+    """rows joined to groups (n rows, one for each value of `right`) where left = right, how: inner or left. A hot group's
+    rows never meet in one task: few groups are broadcast, else rows are dealt over SALTS copies of each group."""
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), F.col(left) == F.col(right), how)
+    copies = groups.withColumn("_gs_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_gs_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return dealt.join(copies, (F.col(left) == F.col(right)) & (F.col("_gs_salt") == F.col("_gs_copy")), how).drop("_gs_salt", "_gs_copy")
+
+
 def slot(key, modulus: int):
     """crc32 of the key as text, modulo `modulus`: the documented train and held-out split."""
     return F.crc32(key.cast("string").cast("binary")) % modulus

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import BROADCAST_ROWS, join_groups, table
 from .words import bytes_of, fresh, owners, slices, sums, words
 
 SYMBOLS = "#*$%&|<>"
@@ -131,22 +131,23 @@ def _moments(rows: DataFrame, factor: float) -> DataFrame:
     return table(agg.mapInPandas(solve, "grp string, centre array<double>, inverse array<double>"), "moments")
 
 
-def scatter(vectors: DataFrame, steps: int) -> DataFrame:
-    """grp, centre, inverse of the reweighted minimum covariance determinant estimate of vectors (grp, x)."""
+def scatter(vectors: DataFrame, steps: int, groups: int = BROADCAST_ROWS + 1) -> DataFrame:
+    """grp, centre, inverse of the reweighted minimum covariance determinant estimate of vectors (grp, x) of at most so many
+    groups."""
     p = len(FEATURES)
     middle = vectors.groupBy("grp").agg(F.array(*(F.percentile_approx(F.col("x")[i], 0.5, 1000) for i in range(p))).alias("centre"))
     flat = [0.0 if i != j else float(f"{1 / f**2:.6g}") for i in range(p) for j, (_, f) in enumerate(FEATURES.values())]
     estimate = middle.withColumn("inverse", F.array(*map(F.lit, flat)))
     for _ in range(steps):
-        far = _with(vectors, estimate)
+        far = _with(vectors, estimate, groups)
         limit = far.groupBy("grp").agg(F.percentile_approx("d2", NEAREST, 1000).alias("limit")).withColumnRenamed("grp", "l_grp")
-        near = far.join(limit, F.col("grp") == F.col("l_grp")).filter("d2 <= limit")
+        near = join_groups(far, limit, groups, "grp", "l_grp").filter("d2 <= limit")
         estimate = _moments(near, NEAREST / SHARE_NEAREST)
-    return _moments(_with(vectors, estimate).filter(F.col("d2") <= CHI_WEIGHT), 0.975 / SHARE_WEIGHT)
+    return _moments(_with(vectors, estimate, groups).filter(F.col("d2") <= CHI_WEIGHT), 0.975 / SHARE_WEIGHT)
 
 
-def _with(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
-    joined = vectors.join(estimate.withColumnRenamed("grp", "e_grp"), F.col("grp") == F.col("e_grp"))
+def _with(vectors: DataFrame, estimate: DataFrame, groups: int) -> DataFrame:
+    joined = join_groups(vectors, estimate.withColumnRenamed("grp", "e_grp"), groups, "grp", "e_grp")
     return joined.withColumn("d2", F.expr(_distance())).drop("e_grp", "centre", "inverse")
 
 
@@ -162,10 +163,12 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gro
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     counts = counts.withColumn("base_failed", failed).withColumn("grp", F.to_json(F.array(*(F.col(f"g{i}") for i in range(len(group_cols))))))
     x = F.array(*(F.expr(f"CASE WHEN n_words > 0 THEN {e} ELSE 0D END") for e, _ in FEATURES.values()))
-    small = counts.filter("NOT base_failed").groupBy(F.col("grp").alias("s_grp")).agg(F.count("*").alias("s_n")).filter(F.col("s_n") < least_rows)
-    marked = counts.withColumn("x", x).join(small, F.col("grp") == F.col("s_grp"), "left").withColumn("grp", F.when(F.col("s_n").isNull(), F.col("grp")).otherwise(F.lit("*")))
+    sizes = table(counts.filter("NOT base_failed").groupBy(F.col("grp").alias("s_grp")).agg(F.count("*").alias("s_n")), "sizes")
+    groups = sizes.count()
+    small = sizes.filter(F.col("s_n") < least_rows)
+    marked = join_groups(counts.withColumn("x", x), small, groups, "grp", "s_grp", "left").withColumn("grp", F.when(F.col("s_n").isNull(), F.col("grp")).otherwise(F.lit("*")))
     vectors = table(marked.drop("s_grp", "s_n"), "vectors")
-    estimate = scatter(vectors.filter("NOT base_failed").select("grp", "x"), steps).withColumnRenamed("grp", "e_grp")
-    judged = vectors.join(estimate, F.col("grp") == F.col("e_grp"), "left").withColumn("distance", F.expr(f"CASE WHEN NOT base_failed THEN {_distance()} END"))
+    estimate = scatter(vectors.filter("NOT base_failed").select("grp", "x"), steps, groups).withColumnRenamed("grp", "e_grp")
+    judged = join_groups(vectors, estimate, groups, "grp", "e_grp", "left").withColumn("distance", F.expr(f"CASE WHEN NOT base_failed THEN {_distance()} END"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CHI_LIMIT, F.lit(True))
     return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
