@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -95,6 +96,21 @@ def join_groups(rows: DataFrame, groups: DataFrame, n: int, left: str, right: st
     return dealt.join(copies, (F.col(left) == F.col(right)) & (F.col("_gs_salt") == F.col("_gs_copy")), how).drop("_gs_salt", "_gs_copy")
 
 
+#: Bytes of an Arrow batch: what JVM and Python hold of a task's input at once.
+BATCH_BYTES = 4 << 20
+
+
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow(function, schema) over batches of at most BATCH_BYTES (or one longer row), whose session's setting is
+    lowered to that if it's higher."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark = df.sparkSession
+    held = int(re.match(r"\d+", spark.conf.get(key))[0])
+    if held > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def slot(key, modulus: int):
     """crc32 of the key as text, modulo `modulus`: the documented train and held-out split."""
     return F.crc32(key.cast("string").cast("binary")) % modulus

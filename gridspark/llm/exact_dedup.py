@@ -18,7 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_batches, table
+from .words import give_back
 
 #: Characters of the text in a splitter. Splitters are collected by Spark's range partitioner, so their size is bounded:
 #: this prefix, then the digest, then an id. Sorting and comparing use the whole text.
@@ -42,6 +43,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), ids)
         digests = [hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in coded.dictionary]
         yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(digests, pa.string()), lists], ["txt", "digest", "ids"])
+    give_back()
 
 
 class _Out:
@@ -117,8 +119,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select((normalise(text) if normalise else text).alias("txt"), F.col(id_col).cast("bigint").alias("id"))
     order = [F.substring("txt", 1, SPLITTER_CHARS), F.col("digest")]
-    dealt = rows.mapInArrow(_fold, _FOLDED).repartitionByRange(*order, F.element_at("ids", 1)).sortWithinPartitions(*order, "txt")
-    runs = table(dealt.mapInArrow(_runs(keep == "max"), _RUNS), "runs")
+    dealt = map_batches(rows, _fold, _FOLDED).repartitionByRange(*order, F.element_at("ids", 1)).sortWithinPartitions(*order, "txt")
+    runs = table(map_batches(dealt, _runs(keep == "max"), _RUNS), "runs")
 
     best = "max" if keep == "max" else "min"
     edges = _edges(runs, best)

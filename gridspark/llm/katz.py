@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slot, table
+from .common import map_batches, slot, table
 from .words import words
 
 #: Counts up to this are discounted.
@@ -278,7 +278,7 @@ def score_documents(docs: DataFrame, held_out=None, id_col: str = "doc_id", text
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = F.coalesce(slot(F.col(id_col), 7) == 2 if held_out is None else held_out, F.lit(False))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held.alias("held"))
-    blocks = table(rows.mapInArrow(_blocks(parts), _MESSAGES), "blocks")
+    blocks = table(map_batches(rows, _blocks(parts), _MESSAGES), "blocks")
     texts, asked = blocks.filter("part < 0"), blocks.filter("part >= 0")
     n_docs = texts.agg(F.sum(F.col("n")[1])).first()[0] or 0
     counted = table(asked.groupBy("part").applyInArrow(_count_words, _MESSAGES), "words")

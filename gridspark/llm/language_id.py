@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slot, table
+from .common import map_batches, slot, table
 from .words import bytes_of, slices
 
 UNKNOWN = "und"
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, train=None, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pred, score, per], [id_col, "lang_pred", "score", "bits_per_byte"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` bigint, lang_pred string, score double, bits_per_byte double")
+    return map_batches(rows, run, f"`{id_col}` bigint, lang_pred string, score double, bits_per_byte double")
 
 
 def keep_identified(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
@@ -193,7 +193,7 @@ def keep_identified(docs: DataFrame, text_col: str = "text", **options) -> DataF
             keep = [predict(shared.value, batch.column(at).slice(a, b - a))[0] for a, b in slices(batch.column(at))]
             yield batch.filter(pc.not_equal(pa.concat_arrays(keep), UNKNOWN)) if keep else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def predict(trees: Trees | None, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_groups, table
+from .common import BROADCAST_ROWS, join_groups, map_batches, table
 from .words import bytes_of, fresh, owners, slices, sums, words
 
 SYMBOLS = "#*$%&|<>"
@@ -100,7 +100,7 @@ def statistics(docs: DataFrame, id_col: str, text_col: str, group_cols: tuple[st
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("id"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"g{i}") for i, c in enumerate(group_cols)), F.col(text_col).cast("string").alias("text")
     )
-    return rows.mapInArrow(run, ", ".join(["id bigint", *(f"g{i} string" for i in range(len(group_cols))), *(f"{c} bigint" for c in _COUNTS)]))
+    return map_batches(rows, run, ", ".join(["id bigint", *(f"g{i} string" for i in range(len(group_cols))), *(f"{c} bigint" for c in _COUNTS)]))
 
 
 def _distance() -> str:

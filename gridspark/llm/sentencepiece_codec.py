@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from .common import table
+from .common import map_batches, table
 from .ragged import PairTable, gather
 from .words import fresh, slices
 
@@ -330,7 +330,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     names = [id_col, "n_tokens", "ids", "decoded_sha256", "round_trip"]
     schema = f"`{id_col}` bigint, n_tokens bigint, ids array<int>, decoded_sha256 string, round_trip boolean"
-    small = rows.filter(F.length("text") <= chunk).select("id", "text").mapInArrow(short, schema)
+    small = map_batches(rows.filter(F.length("text") <= chunk).select("id", "text"), short, schema)
     return small.unionByName(_giants(rows.filter(F.length("text") > chunk), model, id_col, chunk, schema))
 
 
@@ -375,13 +375,13 @@ def _giants(rows: DataFrame, model: str, id_col: str, chunk: int, schema: str) -
             )
 
     # A matrix has a few bits for each chunk; a text's matrices meet in one row, as its ids do in the result.
-    weights = chunks.select("row", "k", "before", "chunk", "after").mapInArrow(weigh, "row bigint, k int, height int, open array<boolean>")
+    weights = map_batches(chunks.select("row", "k", "before", "chunk", "after"), weigh, "row bigint, k int, height int, open array<boolean>")
     solved = weights.groupBy("row").applyInArrow(solve, "b_row bigint, b_k int, enter int, leave int")
     traced = chunks.join(solved, (F.col("row") == F.col("b_row")) & (F.col("k") == F.col("b_k"))).select("row", "id", "k", "before", "chunk", "after", "enter", "leave")
-    pieces = traced.mapInArrow(trace, "row bigint, id bigint, k int, ids array<int>")
+    pieces = map_batches(traced, trace, "row bigint, id bigint, k int, ids array<int>")
     whole = pieces.groupBy("row").agg(F.first("id").alias("id"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x.ids)).alias("ids"))
     # Chunks laid end to end are the text: its digest tells whether decoding gave it back.
     text = chunks.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "chunk"))).alias("c")).select(
         F.col("row").alias("s_row"), F.sha2(F.expr(f"translate(substring(concat_ws('', c.chunk), 2), '{SPACE}', ' ')"), 256).alias("sha")
     )
-    return whole.join(text, F.col("row") == F.col("s_row")).select("id", "ids", "sha").mapInArrow(check, schema)
+    return map_batches(whole.join(text, F.col("row") == F.col("s_row")).select("id", "ids", "sha"), check, schema)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_batches, table
 from .components import components, forest
 from .words import bytes_of, slices, words
 
@@ -235,7 +235,7 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(words_))], names)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    return map_batches(rows, run, ", ".join(f"{n} bigint" for n in names))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 4, seed: int = 42, words_: int = 1, tables: int = 0) -> DataFrame:

@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
 from .ragged import PairTable
 from .words import fresh, slices, sums
 
@@ -150,4 +151,4 @@ def count_tokens(docs: DataFrame, model: str, limit: int, id_col: str = "doc_id"
             )
 
     rows = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return map_batches(rows, run, f"`{id_col}` bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")

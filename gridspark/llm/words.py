@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,16 @@ def _first(texts: pa.Array) -> int:
     return int(np.frombuffer(buffer, np.int64 if pa.types.is_large_string(texts.type) else np.int32, 1)[0])
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Runs of texts of at most `most` bytes in all (or one longer text): what is worked on at once has a bound."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -32,7 +43,7 @@ def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
         stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
         yield at, stop
         at = stop
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
