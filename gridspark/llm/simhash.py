@@ -6,6 +6,10 @@ keys. In a bucket, fingerprints lie as vertical bit planes: one comparison XORs
 and carry-save counters held as bit planes add up 64 distances for each machine word; a block of partners is left as soon
 as all of its distances exceed the radius. A bucket gives out a forest of its links, not all of its pairs, and large
 buckets are dealt over tasks as pairs of tiles.
+
+Near copies of a corpus (drop_near_copies) are sets of shingles of a Jaccard similarity of at least `similarity`. Sets that
+similar share one of their rarest shingles, whatever the input's size, if each gives out size - ceil(similarity * size) + 1
+of them in one order of all shingles; fingerprints meet under those, and links are checked on whole sets.
 """
 
 from __future__ import annotations
@@ -20,9 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, table
+from .common import join_groups, map_batches, table
 from .components import components, forest
-from .words import bytes_of, slices, words
+from .ragged import gather
+from .words import bytes_of, slices, sums, words
 
 BITS = 64
 #: Fingerprints of a bucket that one task compares; larger buckets become pairs of tiles of this size.
@@ -33,9 +38,9 @@ AT_ONCE = 1 << 17
 SMALL, QUERIES = 64, 16
 
 
-def fingerprints(texts: pa.Array, shingle: int, seed: int, words_: int = 1) -> np.ndarray:
+def fingerprints(texts: pa.Array, shingle: int, seed: int, words_: int = 1, kept: list | None = None) -> np.ndarray:
     """SimHash of each text over its word shingles, repeats included: a row of 64-bit words. The first word's hash is
-    XXH64; those of further words mix it again."""
+    XXH64; those of further words mix it again. kept takes (owner, first hash) of the shingles."""
     flat, offsets = words(texts, lower=True)
     counts = np.diff(offsets)
     out = np.zeros((len(counts), words_), np.uint64)
@@ -60,6 +65,8 @@ def fingerprints(texts: pa.Array, shingle: int, seed: int, words_: int = 1) -> n
             y = min(x + AT_ONCE, high)
             h = np.array([digest(data[i:j], seed) for i, j in zip(starts[x:y].tolist(), stops[x:y].tolist(), strict=True)], np.uint64)
             own = owner[x:y] - at
+            if kept is not None:
+                kept.append((owner[x:y], h))
             heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
             for k in range(words_):
                 if k:
@@ -184,13 +191,10 @@ def blocks_for(n: int, radius: int) -> int:
     return radius + 8
 
 
-def sampled_keys(n: int, words_: int, tables: int) -> list[tuple[int, int]]:
-    """(word, mask) of `tables` keys of bits drawn by a fixed rule: two bits more than tell n fingerprints apart."""
-    rng, size = np.random.default_rng(7), min(BITS, max(8, n.bit_length() + 2))
-    return [(t % words_, sum(1 << int(b) for b in rng.choice(BITS, size, replace=False))) for t in range(tables)]
-
+def _compare(radius: int, words_: int, similarity: float = 0.0):
+    """A forest of the links of a task's buckets; with similarity, of those that the sizes of sets allow, checked on the sets
+    if the rows have them."""
 
-def _compare(radius: int, words_: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         names = ("t", "bucket", "a", "b")
         rows = rows.sort_by([(c, "ascending") for c in names])
@@ -201,6 +205,12 @@ def _compare(radius: int, words_: int):
         values = np.stack([rows[f"fp{k}"].to_numpy().view(np.uint64) for k in range(words_)], axis=1)
         node = rows["node"].to_numpy()
         i, j = close_pairs(values, np.cumsum(change), radius)
+        if similarity:
+            size = rows["size"].to_numpy()
+            good = np.minimum(size[i], size[j]) >= _needed(np.maximum(size[i], size[j]), similarity)
+            i, j = i[good], j[good]
+        if "shingles" in rows.column_names:
+            i, j = _similar(rows["shingles"].combine_chunks(), node, i, j, similarity)
         x, y = forest(node[i], node[j])
         return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
@@ -216,12 +226,17 @@ def links(distinct: DataFrame, radius: int, keys: list[tuple[int, int]], words_:
     # Sizes of buckets are counted apart, and only fingerprints in a bucket with others go on.
     bucket = distinct.select("node", *fps, made.alias("k")).select("node", *fps, "k.t", "k.bucket")
     sizes = bucket.groupBy(F.col("t").alias("s_t"), F.col("bucket").alias("s_bucket")).agg(F.count("*").alias("n")).filter("n > 1")
-    met = bucket.join(sizes, (F.col("t") == F.col("s_t")) & (F.col("bucket") == F.col("s_bucket"))).withColumn("tiles", F.expr(f"cast(ceil(n / {TILE}) AS int)"))
-    tiled = met.withColumn("own", F.expr("cast(pmod(xxhash64(node, 7), tiles) AS int)")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).select(
-        "node", *fps, "t", "bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")
+    met = bucket.join(sizes, (F.col("t") == F.col("s_t")) & (F.col("bucket") == F.col("s_bucket")))
+    return _dealt(met, ["node", *fps, "t", "bucket"], parts).groupBy("task").applyInArrow(_compare(radius, words_), "a bigint, b bigint")
+
+
+def _dealt(met: DataFrame, names: list[str], parts: int, tile: int = TILE) -> DataFrame:
+    """names, tiles a and b, and task: rows of met (node, t, bucket, n: the bucket's rows) once for each pair of tiles."""
+    tiled = met.withColumn("tiles", F.expr(f"cast(ceil(n / {tile}) AS int)"))
+    tiled = tiled.withColumn("own", F.expr("cast(pmod(xxhash64(node, 7), tiles) AS int)")).withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)"))).select(
+        *names, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")
     )
-    dealt = tiled.withColumn("task", F.pmod(F.xxhash64("t", "bucket", "a", "b"), F.lit(parts)))
-    return dealt.groupBy("task").applyInArrow(_compare(radius, words_), "a bigint, b bigint")
+    return tiled.withColumn("task", F.pmod(F.xxhash64("t", "bucket", "a", "b"), F.lit(parts)))
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42, words_: int = 1) -> DataFrame:
@@ -238,41 +253,164 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     return map_batches(rows, run, ", ".join(f"{n} bigint" for n in names))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 4, seed: int = 42, words_: int = 1, tables: int = 0) -> DataFrame:
-    """id, fingerprint (16 lowercase hex digits for each word of bits), component_id for every row of docs.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 4, seed: int = 42) -> DataFrame:
+    """id, fingerprint (16 lowercase hex digits), component_id for every row of docs.
 
     A-Z are lower-cased; words are parted by ASCII white space; shingles count as often as they occur; a text with fewer
     words is one shingle; null or empty texts have fingerprint zero, linked like any other. Fingerprints link at up to
-    `radius` differing bits of all their words. With tables=0 no such link is lost (one word of bits only); else pairs meet
-    if they agree in one of `tables` keys of sampled bits. component_id is the smallest id reachable over links; rows that
-    repeat an id are kept, and a null id leads a component only if it has no other. Other columns are not read."""
-    if not tables and words_ > 1:
-        raise ValueError("fingerprints of several words need tables")
+    `radius` differing bits; no such link is lost. component_id is the smallest id reachable over links; rows that repeat an
+    id are kept, and a null id leads a component only if it has no other. Other columns are not read."""
     spark = docs.sparkSession
-    fps = [f"fp{k}" for k in range(words_)]
-    prints = table(simhash(docs, id_col, text_col, shingle, seed, words_), "fingerprints")
-    # A fingerprint's node is a hash of it if it has several words, of which none collide among 2**32 but by rare chance.
-    node = F.col("fp0") if words_ == 1 else F.xxhash64(*fps)
-    distinct = table(prints.groupBy(*fps).agg(F.min("id").alias("first")).withColumn("node", node), "distinct")
+    prints = table(simhash(docs, id_col, text_col, shingle, seed).withColumn("node", F.col("fp0")), "fingerprints")
+    distinct = table(prints.groupBy("node", "fp0").agg(F.min("id").alias("first")), "distinct")
     n = max(distinct.count(), 1)
-    keys = sampled_keys(n, words_, tables) if tables else block_keys(radius, blocks_for(n, radius))
-    joined = components(links(distinct, radius, keys, words_, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    found = links(distinct, radius, block_keys(radius, blocks_for(n, radius)), 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    out = _led(prints, distinct, components(found))
+    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _led(prints: DataFrame, distinct: DataFrame, joined: DataFrame) -> DataFrame:
+    """prints (a row each, by node) with component_id, from distinct (node, first) and the components of nodes."""
     of = distinct.join(joined.withColumnRenamed("node", "j_node"), F.col("node") == F.col("j_node"), "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     leads = of.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("component_id"))
     named = of.join(leads, F.col("component") == F.col("c")).select(F.col("node").alias("n_node"), "component_id")
-    out = prints.withColumn("node", node).join(named, F.col("node") == F.col("n_node"))
-    digits = F.concat(*(F.lpad(F.lower(F.hex(f)), 16, "0") for f in fps))
-    return out.select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
+    return prints.join(named, F.col("node") == F.col("n_node"))
 
 
 #: Near copies in a corpus: five-word shingles, 256 bits. Two texts with a Jaccard similarity s of shingles differ in about
-#: 256 * acos(2s / (1 + s)) / pi bits: 39 for 0.8, give or take 6.
-CORPUS = {"shingle": 5, "words_": 4, "radius": 42, "tables": 48}
+#: 256 * acos(2s / (1 + s)) / pi bits: 39 for 0.8, give or take 6. The radius is three deviations more.
+CORPUS = {"shingle": 5, "words_": 4, "radius": 56, "similarity": 0.8}
+#: Texts sampled for shingles that many texts have, how many of the sample make one common, and the most that are listed.
+#: The list only says which shingles are given out last: no link depends on it.
+SAMPLE, COMMON, LISTED = 20_000, 4, 100_000
+#: Shingles that are checked at once; bucket rows of a task; texts of a component that one task checks, as TILE has them.
+CELL, TASK_ROWS, CHECKED = 1 << 20, 500_000, 512
+
+
+def _sets(kept: list, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner and hash of each text's different shingles, sorted, and their number for each text."""
+    owner, h = (np.concatenate([k[i] for k in kept]) if kept else np.zeros(0, t) for i, t in ((0, np.int64), (1, np.uint64)))
+    order = np.lexsort((h, owner))
+    owner, h = owner[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
+    return owner[new], h[new], np.bincount(owner[new], minlength=n).astype(np.int64)
+
+
+def _needed(size, similarity: float):
+    """The least shared shingles of a set of this size with any that is similar."""
+    return np.ceil(size * similarity - 1e-9).astype(np.int64)
+
+
+def rarest(owner: np.ndarray, h: np.ndarray, sizes: np.ndarray, similarity: float, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text's set, the shingles that any similar set shares one of, and their number for each text. common: sorted
+    by how many texts have them; shingles that aren't listed come before, by hash."""
+    order = np.argsort(common)
+    at = np.minimum(np.searchsorted(common[order], h), max(len(common) - 1, 0))
+    rank = np.where(common[order][at] == h, order[at] + 1, 0) if len(common) else np.zeros(len(h), np.int64)
+    turn = np.lexsort((h, rank, owner))
+    place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    most = np.where(sizes > 0, sizes - _needed(sizes, similarity) + 1, 0)
+    return h[turn][place < np.repeat(most, sizes)], most
+
+
+def shingled(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, words_: int, similarity: float = 0.0, common: np.ndarray | None = None) -> DataFrame:
+    """id, fp0, ..., size (different shingles), node, shingles (array of hashes) for every row of docs: the whole set, sorted,
+    or, with common, the rarest. node is a hash of fingerprint and set: texts of one node differ only by rare chance."""
+    names = ["id", *(f"fp{k}" for k in range(words_)), "size", "same", "shingles"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                kept: list = []
+                fp = fingerprints(batch.column(1).slice(a, b - a), shingle, seed, words_, kept).view(np.int64)
+                owner, h, sizes = _sets(kept, b - a)
+                mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed ^ (mixed >> np.uint64(32)), dtype=np.uint64)])
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                same = total[ends[1:]] - total[ends[:-1]]
+                out, counts = (h, sizes) if common is None else rarest(owner, h, sizes, similarity, common)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(out.view(np.int64)))
+                columns = [*(np.ascontiguousarray(fp[:, k]) for k in range(words_)), sizes, same.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, columns), lists], names)
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    made = map_batches(rows, run, ", ".join(f"{n} bigint" for n in names[:-1]) + ", shingles array<bigint>")
+    return made.withColumn("node", F.xxhash64(*names[1:-1])).drop("same")
+
+
+def common_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> np.ndarray:
+    """Hashes of shingles that many sampled texts have, the commonest last."""
+    step = max(4, docs.count() // SAMPLE)
+    sample = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(step)) == 0)
+    each = shingled(sample, id_col, text_col, shingle, seed, 1).select(F.explode("shingles").alias("h")).groupBy("h").count()
+    found = each.filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(LISTED).collect()
+    return np.array([r["h"] for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def _similar(lists: pa.ListArray, node: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) of rows, similar ones that join the same components as all similar ones: pairs that are joined
+    by others already are left out."""
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    different, code = np.unique(lists.flatten().to_numpy().view(np.uint64), return_inverse=True)
+    # Sets are sorted by hash, so these are sorted over all sets.
+    keys = np.repeat(np.arange(len(sizes)), sizes) * len(different) + code
+    label = np.unique(node, return_inverse=True)[1]
+    found, width = (np.zeros(0, np.int64), np.zeros(0, np.int64)), 256
+    while True:
+        left = label[i] != label[j]
+        i, j = i[left], j[left]
+        if not len(i):
+            return found
+        stop = min(width, max(1, int(np.searchsorted(np.cumsum(sizes[i]), CELL, side="right"))))
+        a, b, i, j, width = i[:stop], j[:stop], i[stop:], j[stop:], width * 2
+        n = sizes[a]
+        wanted = np.repeat(b, n) * len(different) + code[gather(ends[a], n)]
+        hits = keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted
+        shared = sums(hits, np.concatenate([[0], np.cumsum(n)]))
+        good = shared >= similarity * (n + sizes[b] - shared) - 1e-9
+        if good.any():
+            found = np.concatenate([found[0], a[good]]), np.concatenate([found[1], b[good]])
+            x, y = forest(label[a[good]], label[b[good]])
+            to = np.arange(len(label))
+            to[x] = y
+            label = to[label]
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 56, seed: int = 42, words_: int = 4, similarity: float = 0.8) -> DataFrame:
+    """id, component_id for every row of docs, as near_duplicates() has them. Texts link if their sets of shingles have a
+    Jaccard similarity of at least `similarity` and their fingerprints of 64 * words_ bits are within the radius."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fps = [f"fp{k}" for k in range(words_)]
+    common = common_shingles(docs, id_col, text_col, shingle, seed)
+    prints = table(shingled(docs, id_col, text_col, shingle, seed, words_, similarity, common), "fingerprints")
+    one = ["size", "shingles", *fps]
+    nodes = table(prints.groupBy("node").agg(F.min("id").alias("first"), *(F.first(c).alias(c) for c in ("size", *fps))), "distinct")
+    lead = nodes.select(F.col("node").alias("l_node"), F.col("first").alias("l_first"))
+    bucket = prints.join(lead, (F.col("node") == F.col("l_node")) & F.col("id").eqNullSafe(F.col("l_first"))).select("node", F.explode("shingles").alias("bucket"))
+    counts = bucket.groupBy(F.col("bucket").alias("s_bucket")).agg(F.count("*").alias("n")).filter("n > 1")
+    met = table(bucket.join(counts, F.col("bucket") == F.col("s_bucket")).select(F.col("node").alias("m_node"), F.lit(0).alias("t"), "bucket", "n"), "met")
+    names = ["node", *fps, "size", "t", "bucket"]
+    dealt = _dealt(met.join(nodes, F.col("m_node") == F.col("node")), names, max(parts, met.count() // TASK_ROWS))
+    # What similar texts can be linked to, at most: all of their pairs lie within these components.
+    coarse = table(components(dealt.groupBy("task").applyInArrow(_compare(radius, words_, similarity), "a bigint, b bigint")), "coarse")
+    wanted = table(nodes.join(coarse.select(F.col("node").alias("w_node"), "component"), F.col("node") == F.col("w_node")).select("w_node", "component", F.col("first").alias("w_first")), "wanted")
+    texts = docs.select(id_col, text_col).join(wanted.select("w_first").distinct(), F.col(id_col).cast("bigint").eqNullSafe(F.col("w_first")), "left_semi")
+    again = shingled(texts, id_col, text_col, shingle, seed, words_).join(wanted, (F.col("node") == F.col("w_node")) & F.col("id").eqNullSafe(F.col("w_first")))
+    sets = table(again.select("node", *fps, "size", "shingles", F.lit(0).alias("t"), F.col("component").alias("bucket")).dropDuplicates(["node"]), "sets")
+    groups = wanted.groupBy(F.col("component").alias("g_bucket")).agg(F.count("*").alias("n"))
+    known = join_groups(sets, groups, groups.count(), "bucket", "g_bucket")
+    total = sets.agg(F.sum("size")).first()[0] or 0
+    checked = _dealt(known, [*names, "shingles"], max(parts, total // CELL), CHECKED)
+    joined = components(checked.groupBy("task").applyInArrow(_compare(radius, words_, similarity), "a bigint, b bigint"))
+    return _led(prints.select("id", "node"), nodes, joined).select(F.col("id").alias(id_col), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs with one row for each component: the one with the smallest id; of rows that repeat it, one."""
-    found = near_duplicates(docs, id_col, **CORPUS | options)
+    found = near_copies(docs, id_col, **CORPUS | options)
     # Rows that go, not those that stay: usually far fewer.
     marks = table(found.select(F.col(id_col).alias("_gs_id"), "component_id"), "members")
     gone = marks.filter("NOT (_gs_id <=> component_id)").select("_gs_id").distinct()

@@ -458,3 +458,48 @@ def test_token_counts_of_odd_texts():
 def test_queries_keep_their_names():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{k}" for k in range(1, 11)] and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     json.dumps(queries.ORACLE_SQL)
+
+
+def edited(rng, words, share):
+    """The words with runs of single changes, one in about 1 / share places."""
+    return [f"x{rng.integers(1 << 40)}" if rng.random() < share else w for w in words]
+
+
+def shingle_set(text, shingle=5):
+    w = WORD.findall(low(text))
+    return {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+
+
+def test_near_copies_are_those_of_whole_shingle_sets(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    passage = list(rng.choice(vocabulary, 60))
+    pairs, i = [], 0
+    for _ in range(300):
+        base = list(rng.choice(vocabulary, 150)) + passage
+        pairs.append((" ".join(base), " ".join(edited(rng, base, 0.027))))
+    text = [t for pair in pairs for t in pair]
+    j = [len(shingle_set(a) & shingle_set(b)) / len(shingle_set(a) | shingle_set(b)) for a, b in pairs]
+    df = spark.createDataFrame(list(enumerate(text)), "doc_id bigint, text string")
+    lead = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    near = [k for k in range(300) if 0.8 <= j[k] < 0.83]
+    assert len(near) > 20 and np.mean([lead[2 * k + 1] == 2 * k for k in near]) >= 0.95
+    far = [k for k in range(300) if 0.7 <= j[k] < 0.8]
+    assert len(far) > 50 and all(lead[2 * k + 1] == 2 * k + 1 for k in far)
+
+
+def test_near_copies_of_a_large_bucket(spark):
+    """Many texts share their rarest shingles, most of them less than similar: a forest of links isn't enough."""
+    rng = np.random.default_rng(12)
+    base = [f"w{k}" for k in range(300)]
+    text = [" ".join(edited(rng, base, rng.choice([0.002, 0.01, 0.02, 0.04]))) for _ in range(150)]
+    s = [shingle_set(t) for t in text]
+    label = list(range(len(s)))
+    for a in range(len(s)):
+        for b in range(a):
+            if len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b]) and label[a] != label[b]:
+                x, y = sorted((label[a], label[b]))
+                label = [x if v == y else v for v in label]
+    df = spark.createDataFrame(list(enumerate(text)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df, radius=128).collect()}
+    assert 1 < len(set(label)) < len(label) and got == dict(enumerate(label))
