@@ -33,8 +33,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids, decoded_sha256, round_trip."""
-    return sentencepiece_codec.encode(docs, tokenizer_path("piece_bpe_32k.model"))
+    """doc_id, n_tokens, ids, decoded_sha256, round_trip, position: the place (from 0) in the order of the mix."""
+    return sentencepiece_codec.encode(mixing.training_position(docs), tokenizer_path("piece_bpe_32k.model"), carry=("position",))
 
 
 STAGES = [

@@ -94,3 +94,19 @@ def mixed_order(docs: DataFrame, **options) -> DataFrame:
     out = mix(docs, **{"by_id": False} | options)
     keys = ["mix_slot", "mix_place"]
     return out.repartitionByRange(*keys).sortWithinPartitions(*keys).select(*docs.columns)
+
+
+def training_position(docs: DataFrame, out: str = "position") -> DataFrame:
+    """docs, read from Parquet that mixed_order() was written to, with each row's place (from 0) in the training order.
+
+    Spark reads files in an order of its own; a file's number and a row's place in it tell the order written."""
+    at = docs.select("*", F.col("_metadata.file_name").alias("_gs_file"), F.col("_metadata.row_index").alias("_gs_at"))
+    # One row a file: the window reads those, never the rows themselves.
+    files = docs.groupBy(F.col("_metadata.file_name").alias("_gs_name")).agg(F.count("*").alias("_gs_n"))
+    files = files.selectExpr(
+        "_gs_name",
+        r"coalesce(sum(_gs_n) OVER (ORDER BY cast(regexp_extract(_gs_name, 'part-([0-9]+)', 1) AS bigint), _gs_name"
+        " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _gs_before",
+    )
+    joined = at.join(F.broadcast(files), F.col("_gs_file") == F.col("_gs_name"))
+    return joined.withColumn(out, F.col("_gs_before") + F.col("_gs_at")).drop("_gs_file", "_gs_name", "_gs_at", "_gs_before")

@@ -308,14 +308,15 @@ def _digest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
     """id, n_tokens, ids (array), decoded_sha256 and round_trip for every row of docs.
 
     ids are those of the sentencepiece library for this model, without begin or end. round_trip: decoding gives the text
     back (a text with the space sign U+2581 itself doesn't come back). A null text is empty: no ids. Ids may be null or
-    repeat; an empty table gives an empty result; other columns are not read. Texts of more than `chunk` characters are
+    repeat; an empty table gives an empty result; of other
+    columns only `carry` are read, and come out as they are. Texts of more than `chunk` characters are
     cut and spread over tasks: see the module."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(F.col(id_col).cast("bigint").alias("id"), *carry).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
@@ -329,12 +330,14 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(ends), pa.int64()), lists, pa.array([hashlib.sha256(d).hexdigest() for d in decoded]), pa.array(same)], names)
 
     names = [id_col, "n_tokens", "ids", "decoded_sha256", "round_trip"]
-    schema = f"`{id_col}` bigint, n_tokens bigint, ids array<int>, decoded_sha256 string, round_trip boolean"
+    held = rows.schema["id"].dataType.simpleString()
+    schema = f"`{id_col}` {held}, n_tokens bigint, ids array<int>, decoded_sha256 string, round_trip boolean"
     small = map_batches(rows.filter(F.length("text") <= chunk).select("id", "text"), short, schema)
-    return small.unionByName(_giants(rows.filter(F.length("text") > chunk), model, id_col, chunk, schema))
+    whole = small.unionByName(_giants(rows.filter(F.length("text") > chunk), model, id_col, chunk, schema, held))
+    return whole.select(F.col(f"`{id_col}`.id").alias(id_col), *names[1:], *(F.col(f"`{id_col}`.`{c}`").alias(c) for c in carry))
 
 
-def _giants(rows: DataFrame, model: str, id_col: str, chunk: int, schema: str) -> DataFrame:
+def _giants(rows: DataFrame, model: str, id_col: str, chunk: int, schema: str, held: str) -> DataFrame:
     margin = codec(model).longest
     # One row a chunk, cut where the text is read: chunks are dealt over tasks, each with a margin on both sides.
     marked = rows.withColumn("t", F.concat(F.lit(SPACE), F.translate("text", " ", SPACE))).withColumn("k", F.explode(F.expr(f"sequence(0, cast((length(t) - 1) div {chunk} AS int))")))
@@ -378,7 +381,7 @@ def _giants(rows: DataFrame, model: str, id_col: str, chunk: int, schema: str) -
     weights = map_batches(chunks.select("row", "k", "before", "chunk", "after"), weigh, "row bigint, k int, height int, open array<boolean>")
     solved = weights.groupBy("row").applyInArrow(solve, "b_row bigint, b_k int, enter int, leave int")
     traced = chunks.join(solved, (F.col("row") == F.col("b_row")) & (F.col("k") == F.col("b_k"))).select("row", "id", "k", "before", "chunk", "after", "enter", "leave")
-    pieces = map_batches(traced, trace, "row bigint, id bigint, k int, ids array<int>")
+    pieces = map_batches(traced, trace, f"row bigint, id {held}, k int, ids array<int>")
     whole = pieces.groupBy("row").agg(F.first("id").alias("id"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x.ids)).alias("ids"))
     # Chunks laid end to end are the text: its digest tells whether decoding gave it back.
     text = chunks.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "chunk"))).alias("c")).select(

@@ -17,6 +17,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from gridspark.llm import chat, exact_dedup, katz, language_id, mixing, quality, queries, sentencepiece_codec, simhash, token_counts, url_filter, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -503,3 +504,20 @@ def test_near_copies_of_a_large_bucket(spark):
     df = spark.createDataFrame(list(enumerate(text)), "doc_id bigint, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df, radius=128).collect()}
     assert 1 < len(set(label)) < len(label) and got == dict(enumerate(label))
+
+
+def test_encodings_keep_the_order_of_the_mix(spark, docs, tmp_path):
+    """Files and rows of the mix, in their order, are the positions of the last stage: giants and repeats included."""
+    df = docs.unionByName(docs.limit(50).withColumn("text", F.repeat(F.lit("far too long a text "), 2500))).repartition(7)
+    path = str(tmp_path / "mixed")
+    mixing.mixed_order(df, block_rows=4).write.parquet(path)
+    want = [(r["doc_id"], r["text"]) for f in sorted(tmp_path.glob("mixed/part-*")) for r in pq.read_table(f, columns=["doc_id", "text"]).to_pylist()]
+    got = sorted(corpus_pipeline.encode(spark, spark.read.parquet(path), "").collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in got] == list(range(df.count()))
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    assert [(r["doc_id"], r["decoded_sha256"]) for r in got if r["round_trip"]] == [(i, digest(t)) for (i, t), r in zip(want, got, strict=True) if r["round_trip"]]
+    # The first slots of each source, in any stretch, are its share of the mix.
+    share = {r["source"]: r["share"] / r["period"] for r in rows(mixing.target_shares(df))}
+    source = {r["doc_id"]: r["source"] for r in df.collect()}
+    start = Counter(source[r["doc_id"]] or "" for r in got[:200])
+    assert all(abs(start[s] - 200 * w) <= 8 for s, w in share.items())
