@@ -33,7 +33,7 @@ def rooted(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     reaches a root, and the table of jumps of each round: tree, id, up."""
     known = messages.select("tree", "id").withColumnsRenamed({"tree": "k_tree", "id": "k_id"})
     # A parent that isn't there makes its child a root.
-    first = messages.join(known, (F.col("tree") == F.col("k_tree")) & (F.col("parent") == F.col("k_id")), "left")
+    first = messages.join(known, F.col("tree").eqNullSafe(F.col("k_tree")) & (F.col("parent") == F.col("k_id")), "left")
     state = table(first.select("tree", "id", F.col("k_id").alias("up"), F.coalesce("score", F.lit(0.0)).alias("score"), F.lit(1).cast("bigint").alias("depth")), "tree-0")
     done, active, jumps = [state.filter("up IS NULL").drop("up")], state.filter("up IS NOT NULL"), []
     left, limit, k = active.count(), state.count(), 1
@@ -41,7 +41,7 @@ def rooted(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         jumps.append(active.select("tree", "id", "up"))
         whole = reduce(DataFrame.unionByName, [d.withColumn("up", F.lit(None).cast("bigint")) for d in done], active)
         r = whole.select(*(F.col(c).alias(f"r_{c}") for c in ("tree", "id", "up", "score", "depth")))
-        step = active.join(r, (F.col("tree") == F.col("r_tree")) & (F.col("up") == F.col("r_id")))
+        step = active.join(r, F.col("tree").eqNullSafe(F.col("r_tree")) & (F.col("up") == F.col("r_id")))
         state = table(step.select("tree", "id", F.col("r_up").alias("up"), (F.col("score") + F.col("r_score")).alias("score"), (F.col("depth") + F.col("r_depth")).alias("depth")), f"tree-{k}")
         done.append(state.filter("up IS NULL").drop("up"))
         active = state.filter("up IS NOT NULL")
@@ -55,16 +55,16 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     messages: tree, id, parent (bigint), score. Paths rank by their mean score, ties by the smaller leaf id."""
     reached, jumps = rooted(messages)
     parents = messages.filter("parent IS NOT NULL").select(F.col("tree").alias("p_tree"), F.col("parent").alias("p_id")).distinct()
-    leaves = reached.join(parents, (F.col("tree") == F.col("p_tree")) & (F.col("id") == F.col("p_id")), "left_anti")
+    leaves = reached.join(parents, F.col("tree").eqNullSafe(F.col("p_tree")) & (F.col("id") == F.col("p_id")), "left_anti")
     ranked = leaves.selectExpr("tree", "id AS leaf", "depth", "score / depth AS mean").selectExpr(
         "*", "row_number() OVER (PARTITION BY tree ORDER BY mean DESC, leaf) AS branch", "count(*) OVER (PARTITION BY tree) AS n_leaves"
     )
     chosen = table(ranked.filter(F.col("branch") <= branches).select("tree", "leaf", "depth", "branch", "n_leaves"), "leaves")
     # A tree with one leaf and one root is its own path.
     roots = reached.filter("depth = 1").groupBy(F.col("tree").alias("r_tree")).agg(F.count("*").alias("n_roots"))
-    chosen = chosen.join(roots, F.col("tree") == F.col("r_tree")).drop("r_tree")
+    chosen = chosen.join(roots, F.col("tree").eqNullSafe(F.col("r_tree"))).drop("r_tree")
     plain = chosen.filter("n_leaves = 1 AND n_roots = 1").select(F.col("tree").alias("c_tree"), "branch")
-    whole = reached.join(plain, F.col("tree") == F.col("c_tree")).select("tree", "branch", "id", F.col("depth").alias("place"))
+    whole = reached.join(plain, F.col("tree").eqNullSafe(F.col("c_tree"))).select("tree", "branch", "id", F.col("depth").alias("place"))
     forked = chosen.filter("n_leaves > 1 OR n_roots > 1")
     if not forked.take(1):
         return whole
@@ -72,7 +72,7 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     path = forked.select("tree", "branch", F.col("leaf").alias("id"), F.col("depth").alias("place"))
     for k in reversed(range(len(jumps))):
         j = jumps[k].select(F.col("tree").alias("j_tree"), F.col("id").alias("j_id"), "up")
-        higher = path.join(j, (F.col("tree") == F.col("j_tree")) & (F.col("id") == F.col("j_id"))).select("tree", "branch", F.col("up").alias("id"), (F.col("place") - 2**k).alias("place"))
+        higher = path.join(j, F.col("tree").eqNullSafe(F.col("j_tree")) & (F.col("id") == F.col("j_id"))).select("tree", "branch", F.col("up").alias("id"), (F.col("place") - 2**k).alias("place"))
         path = table(path.unionByName(higher), f"path-{k}")
     return whole.unionByName(path)
 
@@ -82,7 +82,8 @@ def format_chats(messages: DataFrame, branches: int = 1, learn_from: str = "assi
 
     messages: tree, id, parent (bigint), role, text, score. A turn is `<|im_start|>role\\ntext<|im_end|>\\n` with role and
     text escaped. mask: for each turn to learn from, its number (from 0) and the start (from 0) and length, in code points
-    of that turn, of its escaped text. Null role, text and score count as '', '' and 0. A message whose parent is missing
+    of that turn, of its escaped text. Null role, text and score count as '', '' and 0; a null tree
+    is a tree of its own. A message whose parent is missing
     is a root; of messages that repeat an id one stays; messages that reach no root (cycles) are left out. An empty table
     gives an empty result. Other columns are not read."""
     rows = messages.select(
@@ -94,7 +95,7 @@ def format_chats(messages: DataFrame, branches: int = 1, learn_from: str = "assi
     head = F.concat(F.lit(OPEN), escape(F.col("role"), newline=True), F.lit("\n"))
     turns = rows.select(F.col("tree").alias("t_tree"), F.col("id").alias("t_id"), head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == learn_from).alias("learn"))
     turns = turns.select("t_tree", "t_id", F.struct(F.concat("head", "body", F.lit(CLOSE)).alias("turn"), F.when(F.col("learn"), F.struct(F.length("head").alias("start"), F.length("body").alias("length"))).alias("span")).alias("x"))
-    joined = paths.join(turns, (F.col("tree") == F.col("t_tree")) & (F.col("id") == F.col("t_id")))
+    joined = paths.join(turns, F.col("tree").eqNullSafe(F.col("t_tree")) & (F.col("id") == F.col("t_id")))
     # A conversation is one value of the result, so its turns meet in one row.
     whole = joined.groupBy("tree", "branch").agg(F.sort_array(F.collect_list(F.struct("place", "id", "x"))).alias("turns"))
     return whole.select(

@@ -521,3 +521,11 @@ def test_encodings_keep_the_order_of_the_mix(spark, docs, tmp_path):
     source = {r["doc_id"]: r["source"] for r in df.collect()}
     start = Counter(source[r["doc_id"]] or "" for r in got[:200])
     assert all(abs(start[s] - 200 * w) <= 8 for s, w in share.items())
+
+
+def test_chat_keeps_a_null_tree(spark):
+    rows_ = [(None, 1, None, "user", "a", 0.0), (None, 2, 1, "assistant", "b", 1.0), (None, 3, 1, "assistant", "c", 2.0), (None, 4, 3, "user", "d", 2.0), (7, 1, None, "user", "e", 0.0)]
+    df = spark.createDataFrame(rows_, "tree bigint, id bigint, parent bigint, role string, text string, score double")
+    assert {r["tree"]: r["n_turns"] for r in chat.format_chats(df).collect()} == {None: 3, 7: 1}
+    plain = df.filter("id <= 2")
+    assert {r["tree"]: r["n_turns"] for r in chat.format_chats(plain, ids_unique=True).collect()} == {None: 2, 7: 1}
