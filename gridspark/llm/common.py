@@ -28,13 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
-    The files go when the session's JVM ends."""
+    The files go with release(), or when the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gs_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that no later plan reads."""
+    for df in tables:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._gs_path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def sequence_in_groups(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
@@ -96,21 +105,56 @@ def join_groups(rows: DataFrame, groups: DataFrame, n: int, left: str, right: st
     return dealt.join(copies, (F.col(left) == F.col(right)) & (F.col("_gs_salt") == F.col("_gs_copy")), how).drop("_gs_salt", "_gs_copy")
 
 
+def join_hot(rows: DataFrame, side: DataFrame, left: str, right: str, how: str = "inner", least: int = 256) -> DataFrame:
+    """rows joined to side (one row for each value of `right`) where left = right, how: inner or left; a null key meets a
+    null key. Keys with more rows than a task's share, at least `least`, are counted first: those few are broadcast, so
+    their rows stay where they are, and only the others are shuffled by key. rows is read twice: a stored table."""
+    sizes = table(rows.groupBy(F.col(left).alias("_gs_hot")).agg(F.count("*").alias("_gs_n")).filter(F.col("_gs_n") >= least), "key-sizes")
+    total, keys = sizes.agg(F.coalesce(F.sum("_gs_n"), F.lit(0)), F.count("*")).first()
+    same = F.col(left).eqNullSafe(F.col(right))
+    if not keys:
+        release(sizes)
+        return rows.join(side, same, how)
+    # At most 4 * HOT_KEYS of these, whatever the data's size.
+    hot = sizes.filter(F.col("_gs_n") >= max(least, total // HOT_KEYS)).select("_gs_hot")
+    is_hot = F.col(left).eqNullSafe(F.col("_gs_hot"))
+    few = side.join(F.broadcast(hot), F.col(right).eqNullSafe(F.col("_gs_hot")), "left_semi")
+    warm = rows.join(F.broadcast(hot), is_hot, "left_semi").join(F.broadcast(few), same, how)
+    return warm.unionByName(rows.join(F.broadcast(hot), is_hot, "left_anti").join(side, same, how))
+
+
+#: Keys that join_hot() may broadcast.
+HOT_KEYS = 4096
 #: Bytes of an Arrow batch: what JVM and Python hold of a task's input at once.
 BATCH_BYTES = 4 << 20
+#: Spark's units of bytes.
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40, "p": 1 << 50}
 
 
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow(function, schema) over batches of at most BATCH_BYTES (or one longer row), whose session's setting is
-    lowered to that if it's higher."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    """df.mapInArrow(function, schema) over batches of at most BATCH_BYTES (or one longer row).
+
+    Spark takes the bound from the session when the plan runs, so a higher or missing setting of
+    spark.sql.execution.arrow.maxBytesPerBatch is lowered and stays so: given_back() restores it once results are there."""
     spark = df.sparkSession
-    held = int(re.match(r"\d+", spark.conf.get(key))[0])
-    if held > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+    held = spark.conf.get(_BYTES_KEY)
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]?)b?\s*", held.lower()).groups()
+    if not 0 < int(number) * _UNITS[unit] <= BATCH_BYTES:
+        _before.setdefault(id(spark), held)
+        spark.conf.set(_BYTES_KEY, str(BATCH_BYTES))
     return df.mapInArrow(function, schema)
 
 
+_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+_before: dict[int, str] = {}
+
+
+def given_back(spark: SparkSession) -> None:
+    """The session's setting as it was before map_batches()."""
+    if held := _before.pop(id(spark), None):
+        spark.conf.set(_BYTES_KEY, held)
+
+
 def slot(key, modulus: int):
     """crc32 of the key as text, modulo `modulus`: the documented train and held-out split."""
     return F.crc32(key.cast("string").cast("binary")) % modulus

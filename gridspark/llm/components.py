@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import join_hot, release, table
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,20 +34,21 @@ def components(links: DataFrame) -> DataFrame:
 
     Rounds of large-star and small-star: each round a node's larger (then smaller) neighbours are hung on its smallest
     one. Links only move downwards, their number never grows, and rounds end when they form stars. A node with very many
-    links is only ever reduced by min(), which is combined before the shuffle, and joined back."""
+    links is reduced by min(), which is combined before the shuffle, and its links are joined back where they lie."""
     links = table(links.filter("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), "links")
     k, before = 0, None
     while True:
         # Large star: for each node, hang every larger neighbour on the smallest of the node and its neighbours.
         both = links.select("u", "v").unionByName(links.selectExpr("v AS u", "u AS v"))
         low = both.groupBy(F.col("u").alias("c")).agg(F.least(F.min("v"), F.min("u")).alias("m"))
-        large = both.filter("v > u").join(low, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_hot(both.filter("v > u"), low, "u", "c").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = table(large, f"large-{k}")
         # Small star: hang a node and its smaller neighbours on the smallest of them.
         low = large.groupBy(F.col("u").alias("c")).agg(F.min("v").alias("m"))
-        hung = large.join(low, F.col("u") == F.col("c"))
+        hung = join_hot(large, low, "u", "c")
         small = hung.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("c").alias("u"), F.col("m").alias("v"))).distinct()
-        links = table(small, f"small-{k}")
+        old, links = links, table(small, f"small-{k}")
+        release(old, large)
         state = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if state == before:
             break

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, map_batches, table
+from .common import join_hot, map_batches, release, table
 from .components import components, forest
 from .ragged import gather
 from .words import bytes_of, slices, sums, words
@@ -219,15 +219,21 @@ def _compare(radius: int, words_: int, similarity: float = 0.0):
 
 def links(distinct: DataFrame, radius: int, keys: list[tuple[int, int]], words_: int, parts: int) -> DataFrame:
     """a, b: links between nodes of distinct (node, fp0, ...; fingerprints all different) that join the same components as
-    all pairs which are within the radius and agree in the masked bits of a key."""
+    all pairs which are within the radius and agree in the masked bits of a key. Tasks, at least `parts`, have about
+    TASK_ROWS rows each, however many there are."""
     fps = [f"fp{k}" for k in range(words_)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     made = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col(f"fp{w}").bitwiseAND(F.lit(signed(m))).alias("bucket")) for t, (w, m) in enumerate(keys))))
     # Sizes of buckets are counted apart, and only fingerprints in a bucket with others go on.
     bucket = distinct.select("node", *fps, made.alias("k")).select("node", *fps, "k.t", "k.bucket")
     sizes = bucket.groupBy(F.col("t").alias("s_t"), F.col("bucket").alias("s_bucket")).agg(F.count("*").alias("n")).filter("n > 1")
-    met = bucket.join(sizes, (F.col("t") == F.col("s_t")) & (F.col("bucket") == F.col("s_bucket")))
-    return _dealt(met, ["node", *fps, "t", "bucket"], parts).groupBy("task").applyInArrow(_compare(radius, words_), "a bigint, b bigint")
+    met = table(bucket.join(sizes, (F.col("t") == F.col("s_t")) & (F.col("bucket") == F.col("s_bucket"))).select("node", *fps, "t", "bucket", "n"), "met")
+    return _dealt(met, ["node", *fps, "t", "bucket"], _tasks(met, parts)).groupBy("task").applyInArrow(_compare(radius, words_), "a bigint, b bigint")
+
+
+def _tasks(met: DataFrame, parts: int) -> int:
+    """Tasks for rows of met: each row is compared once for each tile of its bucket."""
+    return max(parts, (met.agg(F.sum(F.expr(f"cast(ceil(n / {TILE}) AS bigint)"))).first()[0] or 0) // TASK_ROWS)
 
 
 def _dealt(met: DataFrame, names: list[str], parts: int, tile: int = TILE) -> DataFrame:
@@ -266,20 +272,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n = max(distinct.count(), 1)
     found = links(distinct, radius, block_keys(radius, blocks_for(n, radius)), 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     out = _led(prints, distinct, components(found))
-    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
+    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), F.col("lead").alias("component_id"))
 
 
 def _led(prints: DataFrame, distinct: DataFrame, joined: DataFrame) -> DataFrame:
-    """prints (a row each, by node) with component_id, from distinct (node, first) and the components of nodes."""
-    of = distinct.join(joined.withColumnRenamed("node", "j_node"), F.col("node") == F.col("j_node"), "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-    leads = of.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("component_id"))
-    named = of.join(leads, F.col("component") == F.col("c")).select(F.col("node").alias("n_node"), "component_id")
-    return prints.join(named, F.col("node") == F.col("n_node"))
+    """prints (a stored row each, by node) with lead, the least `first` of its component, from distinct (node, first) and
+    the components of nodes. A node with very many rows, and a component with very many nodes, stay where they lie."""
+    # Nodes without a link are their own component; the others, usually few, learn their component's lead.
+    of = table(distinct.join(joined.withColumnRenamed("node", "j_node"), F.col("node") == F.col("j_node")).select("node", "first", "component"), "linked")
+    leads = of.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("lead"))
+    named = join_hot(of, leads, "component", "c").select(F.col("node").alias("n_node"), "lead")
+    every = distinct.join(named, F.col("node") == F.col("n_node"), "left").select(F.col("node").alias("n_node"), F.coalesce("lead", "first").alias("lead"))
+    return join_hot(prints, every, "node", "n_node")
 
 
 #: Near copies in a corpus: five-word shingles, 256 bits. Two texts with a Jaccard similarity s of shingles differ in about
 #: 256 * acos(2s / (1 + s)) / pi bits: 39 for 0.8, give or take 6. The radius is three deviations more.
-CORPUS = {"shingle": 5, "words_": 4, "radius": 56, "similarity": 0.8}
+CORPUS = {"shingle": 5, "seed": 42, "words_": 4, "radius": 56, "similarity": 0.8}
 #: Texts sampled for shingles that many texts have, how many of the sample make one common, and the most that are listed.
 #: The list only says which shingles are given out last: no link depends on it.
 SAMPLE, COMMON, LISTED = 20_000, 4, 100_000
@@ -314,16 +323,17 @@ def rarest(owner: np.ndarray, h: np.ndarray, sizes: np.ndarray, similarity: floa
     return h[turn][place < np.repeat(most, sizes)], most
 
 
-def shingled(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int, words_: int, similarity: float = 0.0, common: np.ndarray | None = None) -> DataFrame:
-    """id, fp0, ..., size (different shingles), node, shingles (array of hashes) for every row of docs: the whole set, sorted,
-    or, with common, the rarest. node is a hash of fingerprint and set: texts of one node differ only by rare chance."""
-    names = ["id", *(f"fp{k}" for k in range(words_)), "size", "same", "shingles"]
+def shingled(rows: DataFrame, shingle: int, seed: int, words_: int, similarity: float = 0.0, common: np.ndarray | None = None) -> DataFrame:
+    """id, th, fp0, ..., size (different shingles), node, shingles (array of hashes) for every row of rows (id, th, text): the
+    whole set, sorted, or, with common, the rarest. node is a hash of fingerprint and set: texts of one node differ only by
+    rare chance."""
+    names = ["id", "th", *(f"fp{k}" for k in range(words_)), "size", "same", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(2)):
                 kept: list = []
-                fp = fingerprints(batch.column(1).slice(a, b - a), shingle, seed, words_, kept).view(np.int64)
+                fp = fingerprints(batch.column(2).slice(a, b - a), shingle, seed, words_, kept).view(np.int64)
                 owner, h, sizes = _sets(kept, b - a)
                 mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed ^ (mixed >> np.uint64(32)), dtype=np.uint64)])
@@ -332,18 +342,17 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: in
                 out, counts = (h, sizes) if common is None else rarest(owner, h, sizes, similarity, common)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(out.view(np.int64)))
                 columns = [*(np.ascontiguousarray(fp[:, k]) for k in range(words_)), sizes, same.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, columns), lists], names)
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(a, b - a) for k in (0, 1)] + [*map(pa.array, columns), lists], names)
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    made = map_batches(rows, run, ", ".join(f"{n} bigint" for n in names[:-1]) + ", shingles array<bigint>")
-    return made.withColumn("node", F.xxhash64(*names[1:-1])).drop("same")
+    made = map_batches(rows.select("id", "th", "text"), run, ", ".join(f"{n} bigint" for n in names[:-1]) + ", shingles array<bigint>")
+    return made.withColumn("node", F.xxhash64(*names[2:-1])).drop("same")
 
 
-def common_shingles(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> np.ndarray:
+def common_shingles(rows: DataFrame, shingle: int, seed: int) -> np.ndarray:
     """Hashes of shingles that many sampled texts have, the commonest last."""
-    step = max(4, docs.count() // SAMPLE)
-    sample = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(step)) == 0)
-    each = shingled(sample, id_col, text_col, shingle, seed, 1).select(F.explode("shingles").alias("h")).groupBy("h").count()
+    step = max(4, rows.count() // SAMPLE)
+    sample = rows.filter(F.pmod(F.xxhash64("id", "th"), F.lit(step)) == 0)
+    each = shingled(sample, shingle, seed, 1).select(F.explode("shingles").alias("h")).groupBy("h").count()
     found = each.filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(LISTED).collect()
     return np.array([r["h"] for r in reversed(found)], np.int64).view(np.uint64)
 
@@ -378,42 +387,64 @@ def _similar(lists: pa.ListArray, node: np.ndarray, i: np.ndarray, j: np.ndarray
             label = to[label]
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 56, seed: int = 42, words_: int = 4, similarity: float = 0.8) -> DataFrame:
-    """id, component_id for every row of docs, as near_duplicates() has them. Texts link if their sets of shingles have a
-    Jaccard similarity of at least `similarity` and their fingerprints of 64 * words_ bits are within the radius."""
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, th, text: id and a hash of the text name a row, since ids may repeat or be null."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, seed: int, words_: int, similarity: float) -> DataFrame:
+    """id, th, lead (no_id, id, th of the least row of its component; no_id sorts null ids last) for every row of docs."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     fps = [f"fp{k}" for k in range(words_)]
-    common = common_shingles(docs, id_col, text_col, shingle, seed)
-    prints = table(shingled(docs, id_col, text_col, shingle, seed, words_, similarity, common), "fingerprints")
-    one = ["size", "shingles", *fps]
-    nodes = table(prints.groupBy("node").agg(F.min("id").alias("first"), *(F.first(c).alias(c) for c in ("size", *fps))), "distinct")
-    lead = nodes.select(F.col("node").alias("l_node"), F.col("first").alias("l_first"))
-    bucket = prints.join(lead, (F.col("node") == F.col("l_node")) & F.col("id").eqNullSafe(F.col("l_first"))).select("node", F.explode("shingles").alias("bucket"))
+    rows = _rows(docs, id_col, text_col)
+    common = common_shingles(rows, shingle, seed)
+    prints = table(shingled(rows, shingle, seed, words_, similarity, common), "fingerprints")
+    name = F.struct(F.col("id").isNull().alias("no_id"), "id", "th")
+    nodes = table(prints.groupBy("node").agg(F.min(name).alias("first"), *(F.first(c).alias(c) for c in ("size", *fps))), "distinct")
+    lead = nodes.select(F.col("node").alias("l_node"), F.col("first.id").alias("l_id"), F.col("first.th").alias("l_th"))
+    first = (F.col("node") == F.col("l_node")) & F.col("id").eqNullSafe(F.col("l_id")) & (F.col("th") == F.col("l_th"))
+    # A row that occurs more than once gives its shingles out more than once: distinct pairs are counted.
+    bucket = prints.join(lead, first).select("node", F.explode("shingles").alias("bucket")).distinct()
     counts = bucket.groupBy(F.col("bucket").alias("s_bucket")).agg(F.count("*").alias("n")).filter("n > 1")
     met = table(bucket.join(counts, F.col("bucket") == F.col("s_bucket")).select(F.col("node").alias("m_node"), F.lit(0).alias("t"), "bucket", "n"), "met")
     names = ["node", *fps, "size", "t", "bucket"]
-    dealt = _dealt(met.join(nodes, F.col("m_node") == F.col("node")), names, max(parts, met.count() // TASK_ROWS))
+    dealt = _dealt(met.join(nodes, F.col("m_node") == F.col("node")), names, _tasks(met, parts))
     # What similar texts can be linked to, at most: all of their pairs lie within these components.
     coarse = table(components(dealt.groupBy("task").applyInArrow(_compare(radius, words_, similarity), "a bigint, b bigint")), "coarse")
-    wanted = table(nodes.join(coarse.select(F.col("node").alias("w_node"), "component"), F.col("node") == F.col("w_node")).select("w_node", "component", F.col("first").alias("w_first")), "wanted")
-    texts = docs.select(id_col, text_col).join(wanted.select("w_first").distinct(), F.col(id_col).cast("bigint").eqNullSafe(F.col("w_first")), "left_semi")
-    again = shingled(texts, id_col, text_col, shingle, seed, words_).join(wanted, (F.col("node") == F.col("w_node")) & F.col("id").eqNullSafe(F.col("w_first")))
+    release(met)
+    wanted = table(nodes.join(coarse.select(F.col("node").alias("w_node"), "component"), F.col("node") == F.col("w_node")).select("w_node", "component", F.col("first.id").alias("w_id"), F.col("first.th").alias("w_th")), "wanted")
+    texts = rows.join(wanted.select("w_id", "w_th"), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")), "left_semi")
+    again = shingled(texts, shingle, seed, words_).join(wanted.drop("w_id", "w_th"), F.col("node") == F.col("w_node"))
     sets = table(again.select("node", *fps, "size", "shingles", F.lit(0).alias("t"), F.col("component").alias("bucket")).dropDuplicates(["node"]), "sets")
     groups = wanted.groupBy(F.col("component").alias("g_bucket")).agg(F.count("*").alias("n"))
-    known = join_groups(sets, groups, groups.count(), "bucket", "g_bucket")
+    known = join_hot(sets, groups, "bucket", "g_bucket")
     total = sets.agg(F.sum("size")).first()[0] or 0
     checked = _dealt(known, [*names, "shingles"], max(parts, total // CELL), CHECKED)
     joined = components(checked.groupBy("task").applyInArrow(_compare(radius, words_, similarity), "a bigint, b bigint"))
-    return _led(prints.select("id", "node"), nodes, joined).select(F.col("id").alias(id_col), "component_id")
+    release(coarse, wanted, sets)
+    return _led(prints.select("id", "th", "node"), nodes, joined).select("id", "th", "lead")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 56, seed: int = 42, words_: int = 4, similarity: float = 0.8) -> DataFrame:
+    """id, component_id for every row of docs, as near_duplicates() has them. Texts link if their sets of shingles have a
+    Jaccard similarity of at least `similarity` and their fingerprints of 64 * words_ bits are within the radius."""
+    found = _classes(docs, id_col, text_col, shingle, radius, seed, words_, similarity)
+    return found.select(F.col("id").alias(id_col), F.col("lead.id").alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs with one row for each component: the one with the smallest id; of rows that repeat it, one."""
-    found = near_copies(docs, id_col, **CORPUS | options)
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row for each component of near copies (see near_copies), columns unchanged: the row with the smallest
+    id, of rows with that id the one whose text has the smallest hash, of equal rows one. Rows are told apart by id and
+    text, so of unrelated texts that repeat an id, or have none, each stays. Null ids lose against any other. A null text,
+    an empty one and one without a word are alike: one of them stays. An empty table gives an empty result. Names that
+    begin with _gs_ are reserved."""
+    marks = table(_classes(docs, id_col, text_col, **CORPUS | options), "members")
     # Rows that go, not those that stay: usually far fewer.
-    marks = table(found.select(F.col(id_col).alias("_gs_id"), "component_id"), "members")
-    gone = marks.filter("NOT (_gs_id <=> component_id)").select("_gs_id").distinct()
-    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gs_id")), "left_anti")
-    repeated = marks.filter("_gs_id <=> component_id").groupBy("_gs_id").count().filter("count > 1").limit(1)
-    return out.dropDuplicates([id_col]) if repeated.take(1) else out
+    is_lead = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("th") == F.col("lead.th"))
+    gone = marks.filter(~is_lead).select(F.col("id").alias("_gs_id"), F.col("th").alias("_gs_th")).distinct()
+    own = F.xxhash64(F.col(text_col).cast("string"))
+    out = docs.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("_gs_id")) & (own == F.col("_gs_th")), "left_anti")
+    repeated = marks.filter(is_lead).groupBy("id", "th").count().filter("count > 1").limit(1)
+    return out.dropDuplicates([id_col, text_col]) if repeated.take(1) else out
