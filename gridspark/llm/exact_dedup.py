@@ -1,49 +1,105 @@
 """Exact deduplication by content sort.
 
-Sampled splitters range-partition the normalised texts, an external sort places equal texts side by side, and full
-comparisons of neighbours find the runs of equal texts. A run that crosses a partition's edge is finished by comparing
-the edge texts, at most two for each partition. Equal texts that meet in one input batch are folded before the shuffle,
-and splitters reach below the text (to row ids), so a very large group is dealt over several tasks.
+Splitters are sampled texts, each cut after the first byte that tells it from the sample before it. They range-partition the
+normalised texts by their bytes, an external sort places equal texts side by side, and full comparisons of neighbours find
+the runs of equal texts. Equal texts that meet in one input batch are folded before the shuffle; where a text was sampled
+more than once, ids are part of its splitters, so a very large group is dealt over several ranges. A run that crosses a
+range's edge is finished by comparing the edge texts, at most two for each range.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_batches, table
 from .words import give_back
 
-#: Characters of the text in a splitter. Splitters are collected by Spark's range partitioner, so their size is bounded:
-#: this prefix, then the digest, then an id. Sorting and comparing use the whole text.
-SPLITTER_CHARS = 32
+#: Sampled texts for each range, and bytes of sampled texts and of splitters that the driver holds at most: beyond those
+#: ranges are fewer and larger, with the same result.
+SAMPLES, SAMPLE_BYTES = 8, 64 << 20
 _OUT_ROWS = 50_000
 
-_FOLDED = "txt string, digest string, ids array<bigint>"
+_FOLDED = "pid int, txt string, ids array<bigint>, digest string"
 _RUNS = "doc_id bigint, text_sha256 string, run_keep bigint, run_size bigint, first boolean, pid int, edge int, edge_text string"
+LAST = (1 << 63) - 1
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each distinct text of a batch, with all its ids."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        coded = batch.column(0).dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        order = np.argsort(codes, kind="stable")
-        counts = np.bincount(codes, minlength=len(coded.dictionary))
-        ids = batch.column(1).take(pa.array(order))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), ids)
-        digests = [hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in coded.dictionary]
-        yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), pa.array(digests, pa.string()), lists], ["txt", "digest", "ids"])
-    give_back()
+def _ranks(ids: pa.Array, sign: int) -> np.ndarray:
+    """_order() of an array, but for ties."""
+    plain = pc.fill_null(ids, LAST if sign > 0 else -LAST - 1).to_numpy(zero_copy_only=False)
+    return plain if sign > 0 else ~plain
+
+
+def splitters(rows: DataFrame, parts: int, sign: int) -> list[tuple[bytes, int]]:
+    """Bounds (bytes of text, sign * id) between at most `parts` ranges of rows (txt, id): a row lies in the range numbered by
+    the bounds that are not greater than it. A bound has a text's first bytes up to where it differs from the sampled text
+    before it; only between samples of one text it has the whole text, and an id."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("txt")), F.lit(0))).first()
+    step = max(1, n // (SAMPLES * parts), -(-size // SAMPLE_BYTES))
+    sample = rows.filter((F.pmod(F.xxhash64("txt", "id"), F.lit(step)) == 0) & (F.octet_length("txt") <= SAMPLE_BYTES // 64))
+    return cut(sorted((r["txt"].encode(), _order(r["id"], sign)) for r in sample.collect()), parts)
+
+
+def _order(ident: int | None, sign: int) -> int:
+    """Ids in the order in which they are kept; null last."""
+    return LAST if ident is None else sign * ident
+
+
+def cut(found: list[tuple[bytes, int]], parts: int) -> list[tuple[bytes, int]]:
+    """Bounds of at most `parts` ranges that divide the sorted samples evenly."""
+    out: list[tuple[bytes, int]] = []
+    held = 0
+    for k in sorted({len(found) * i // parts for i in range(1, parts)} - {0}):
+        (before, _), (text, at) = found[k - 1], found[k]
+        if text == before:
+            bound = (text, at)
+        else:
+            same = next((i for i, (x, y) in enumerate(zip(before, text, strict=False)) if x != y), len(before))
+            bound = (text[: same + 1], -LAST - 1)
+        held += len(bound[0])
+        if held > SAMPLE_BYTES:
+            break
+        if not out or bound > out[-1]:
+            out.append(bound)
+    return out
+
+
+def _ranges(bounds: list[tuple[bytes, int]], texts: pa.Array, ids: pa.Array, sign: int) -> pa.Array:
+    """The range of each row."""
+    pairs = zip(texts, ids.to_pylist(), strict=True)
+    return pa.array([bisect_right(bounds, ((t.as_buffer() or b"") and t.as_buffer().to_pybytes(), _order(i, sign))) for t, i in pairs], pa.int32())
+
+
+def _fold(bounds: list[tuple[bytes, int]], sign: int):
+    """One row for each distinct text of a batch (txt, id), with all its ids, the best first, and the text's range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            coded = batch.column(0).dictionary_encode()
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            order = np.lexsort((_ranks(batch.column(1), sign), codes))
+            counts = np.bincount(codes, minlength=len(coded.dictionary))
+            ids = batch.column(1).take(pa.array(order))
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
+            pid = _ranges(bounds, coded.dictionary, ids.take(pa.array(ends[:-1])), sign)
+            columns = [pid, coded.dictionary.cast(pa.string()), lists]
+            digest = [hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in coded.dictionary]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(digest, pa.string())], ["pid", "txt", "ids", "digest"])
+        give_back()
+
+    return run
 
 
 class _Out:
@@ -52,19 +108,20 @@ class _Out:
     names = ("doc_id", "text_sha256", "run_keep", "run_size", "first", "pid", "edge", "edge_text")
     types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.string())
 
-    def __init__(self, largest: bool, pid: int):
-        self.best, self.pid = (pc.max if largest else pc.min), pid
+    def __init__(self, largest: bool):
+        self.best = pc.max if largest else pc.min
         self.columns: list[list] = [[] for _ in self.names]
 
-    def add(self, digest: str, parts: list[pa.Array], edge: int, text: str | None) -> Iterator[pa.RecordBatch]:
-        """The rows of one run; the run's text goes with its first row if the run touches an edge."""
+    def add(self, pid: int, digest: str, parts: list[pa.Array], edge: int, text: str | None) -> Iterator[pa.RecordBatch]:
+        """The rows of one run; the run's text goes with its first row if the run touches an edge (1: the range's first, 2: its
+        last, 3: both)."""
         ids = pa.concat_arrays(parts) if len(parts) > 1 else parts[0]
         keep, size, marked = self.best(ids).as_py(), len(ids), False
         for at in range(0, size, _OUT_ROWS):
             for i in ids.slice(at, _OUT_ROWS).to_pylist():
                 first = not marked and i == keep
                 marked |= first
-                for column, value in zip(self.columns, (i, digest, keep, size, first, self.pid, edge, text), strict=True):
+                for column, value in zip(self.columns, (i, digest, keep, size, first, pid, edge, text), strict=True):
                     column.append(value)
                 text = None
             if len(self.columns[0]) >= _OUT_ROWS:
@@ -78,29 +135,35 @@ class _Out:
 
 def _runs(largest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Out(largest, TaskContext.get().partitionId())
-        text, digest, parts, edge = None, "", [], 1  # of the run that is still open
+        out = _Out(largest)
+        pid, text, digest, parts, edge = -1, None, "", [], 1  # of the run that is still open
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            texts, digests, lists = batch.column(0), batch.column(1), batch.column(2)
-            differs = pc.not_equal(texts.slice(1), texts.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            pids = batch.column(0).to_numpy()
+            texts, lists, digests = batch.column(1), batch.column(2), batch.column(3)
+            differs = pc.not_equal(texts.slice(1), texts.slice(0, n - 1)).to_numpy(zero_copy_only=False) | (pids[1:] != pids[:-1])
             starts = [0, *(np.flatnonzero(differs) + 1).tolist(), n]
             offsets, flat = lists.offsets.to_numpy(), lists.values
             for a, b in zip(starts, starts[1:], strict=False):
                 ids = flat.slice(offsets[a], offsets[b] - offsets[a])
-                if parts and a == 0 and text == texts[0].as_py():
+                new = int(pids[a])
+                if parts and a == 0 and new == pid and text == texts[0].as_py():
                     parts.append(ids)
                     continue
                 if parts:
-                    yield from out.add(digest, parts, edge, text if edge else None)
+                    last = new != pid
+                    yield from out.add(pid, digest, parts, edge + 2 * last, text if edge or last else None)
                     edge = 0
-                text, digest, parts = None, digests[a].as_py(), [ids]
-                if b == n or edge:
-                    text = texts[a].as_py()
+                if new != pid:
+                    pid, edge = new, 1
+                digest, parts = digests[a].as_py(), [ids]
+                # An edge's text is kept: of a range's first run, of its last and of one that may go on in the next batch.
+                at_edge = edge or b == n or pids[b] != new
+                text = texts[a].as_py() if at_edge else None
         if parts:
-            yield from out.add(digest, parts, edge + 2, text)
+            yield from out.add(pid, digest, parts, edge + 2, text)
         if out.columns[0]:
             yield out.batch()
 
@@ -118,8 +181,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("keep is 'min' or 'max'")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select((normalise(text) if normalise else text).alias("txt"), F.col(id_col).cast("bigint").alias("id"))
-    order = [F.substring("txt", 1, SPLITTER_CHARS), F.col("digest")]
-    dealt = map_batches(rows, _fold, _FOLDED).repartitionByRange(*order, F.element_at("ids", 1)).sortWithinPartitions(*order, "txt")
+    sign, parts = (1 if keep == "min" else -1), _parts(docs)
+    bounds = splitters(rows, parts, sign)
+    dealt = map_batches(rows, _fold(bounds, sign), _FOLDED).repartitionById(len(bounds) + 1, "pid").sortWithinPartitions("pid", "txt")
     runs = table(map_batches(dealt, _runs(keep == "max"), _RUNS), "runs")
 
     best = "max" if keep == "max" else "min"
@@ -136,6 +200,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def _parts(docs: DataFrame) -> int:
+    """Ranges: as many as a shuffle has partitions."""
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _edges(runs: DataFrame, best: str) -> DataFrame:
     """For each run at an edge: id kept, size and the partition that holds the kept row, over all its parts."""
     parts = runs.filter("edge_text IS NOT NULL").selectExpr(
@@ -150,10 +219,77 @@ def _edges(runs: DataFrame, best: str) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """docs without its copies, columns unchanged. Rows that repeat id and text are reduced to one."""
-    marks = table(exact_dedup(docs, id_col, text_col, keep).select("doc_id", "text_sha256", "kept"), "marks")
-    kept = marks.filter("kept").select(F.col("doc_id").alias("_gs_id"), F.col("text_sha256").alias("_gs_sha"))
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_gs_id")) & (digest == F.col("_gs_sha")), "left_semi")
-    repeated = marks.groupBy("doc_id", "text_sha256").count().filter("count > 1").limit(1)
-    return out.dropDuplicates([id_col, text_col]) if repeated.take(1) else out
+    """docs without its copies, columns unchanged: of equal texts the row with the smallest id stays (keep="max": the
+    largest), of rows that repeat the id one. A null text counts as empty; null ids lose against any other. An empty table
+    gives an empty result. Names that begin with _gs_ are reserved.
+
+    Rows go through the same ranges, sort and comparisons as in exact_dedup, whole and once: in an input batch only the best
+    row of a text is kept, and of the sorted rows those that differ from the row before them."""
+    if keep not in ("min", "max"):
+        raise ValueError("keep is 'min' or 'max'")
+    sign, parts = (1 if keep == "min" else -1), _parts(docs)
+    text, ident = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("bigint")
+    bounds = splitters(docs.select(text.alias("txt"), ident.alias("id")), parts, sign)
+    keyed = docs.select("*", text.alias("_gs_txt"), ident.alias("_gs_id"), F.lit(0).alias("_gs_pid"))
+    n = len(keyed.columns)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in keyed.schema])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column(n - 3).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            order = np.lexsort((_ranks(batch.column(n - 2), sign), codes))
+            best = batch.take(pa.array(np.sort(order[np.concatenate([[True], np.diff(codes[order]) != 0])])))
+            pid = _ranges(bounds, best.column(n - 3), best.column(n - 2), sign)
+            yield pa.RecordBatch.from_arrays([*best.columns[:-1], pid], schema=best.schema)
+        give_back()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that differ from the one before; _gs_pid stays, _gs_txt only in rows that begin a range and in a last row, not to
+        be kept, that says what a range ends with (its _gs_id is null)."""
+        blank = pa.scalar(None, pa.string())
+        last: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts, pids = batch.column(n - 3), batch.column(n - 1)
+            if last is not None:
+                texts = pa.concat_arrays([last.column(n - 3), texts])
+                pids = pa.concat_arrays([last.column(n - 1), pids])
+            same_pid = np.diff(pids.to_numpy()) == 0
+            same = same_pid & pc.equal(texts.slice(1), texts.slice(0, len(texts) - 1)).to_numpy(zero_copy_only=False)
+            new, begins = ~same, ~same_pid
+            if last is None:
+                new, begins = np.concatenate([[True], new]), np.concatenate([[True], begins])
+            ends = np.flatnonzero(begins)
+            shown = pc.if_else(pa.array(begins), batch.column(n - 3), blank)
+            mark = pa.array(np.ones(batch.num_rows, np.int64))
+            out = pa.RecordBatch.from_arrays([*batch.columns[: n - 3], shown, mark, batch.column(n - 1)], schema=batch.schema)
+            yield out.filter(pa.array(new))
+            # The last row of each range that ends here.
+            for k in ends.tolist():
+                done = last if k == 0 else batch.slice(k - 1, 1)
+                if done is not None:
+                    yield _end(done, n)
+            last = batch.slice(batch.num_rows - 1, 1)
+        if last is not None:
+            yield _end(last, n)
+
+    dealt = map_batches(keyed, fold, schema).repartitionById(len(bounds) + 1, "_gs_pid")
+    order = F.col("_gs_id").asc_nulls_last() if sign > 0 else F.col("_gs_id").desc_nulls_last()
+    walked = table(map_batches(dealt.sortWithinPartitions("_gs_pid", "_gs_txt", order), walk, schema), "walked")
+    # Ranges are in order: a range's first row is a copy if the range before it, of those with rows, ends with its text.
+    tails = walked.filter("_gs_id IS NULL").select(F.col("_gs_pid").alias("t_pid"), F.col("_gs_txt").alias("t_txt"))
+    heads = walked.filter("_gs_id IS NOT NULL AND _gs_txt IS NOT NULL").select(F.col("_gs_pid").alias("h_pid"), F.col("_gs_txt").alias("h_txt"))
+    # Two numbers for each range in this window, never a text.
+    steps = tails.select("t_pid").selectExpr("t_pid AS s_pid", "lag(t_pid) OVER (ORDER BY t_pid) AS s_before")
+    gone = heads.join(steps, F.col("h_pid") == F.col("s_pid")).join(tails, (F.col("s_before") == F.col("t_pid")) & (F.col("h_txt") == F.col("t_txt"))).select(F.col("h_pid").alias("_gs_gone"))
+    out = walked.filter("_gs_id IS NOT NULL").join(F.broadcast(gone), (F.col("_gs_pid") == F.col("_gs_gone")) & F.col("_gs_txt").isNotNull(), "left_anti")
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _end(row: pa.RecordBatch, n: int) -> pa.RecordBatch:
+    """What tells a range's last text: the row, marked by a null id."""
+    empty = [pa.nulls(1, c.type) for c in row.columns[: n - 3]]
+    return pa.RecordBatch.from_arrays([*empty, row.column(n - 3), pa.nulls(1, pa.int64()), row.column(n - 1)], schema=row.schema)

@@ -529,3 +529,53 @@ def test_chat_keeps_a_null_tree(spark):
     assert {r["tree"]: r["n_turns"] for r in chat.format_chats(df).collect()} == {None: 3, 7: 1}
     plain = df.filter("id <= 2")
     assert {r["tree"]: r["n_turns"] for r in chat.format_chats(plain, ids_unique=True).collect()} == {None: 2, 7: 1}
+
+
+def test_near_copies_of_other_rows_stay(spark):
+    """Rows that repeat an id, or have none, go only as copies of a text, one by one."""
+    rng = np.random.default_rng(5)
+    a, b, c, d, e = (" ".join(f"w{k}" for k in rng.integers(0, 9000, 200)) for _ in range(5))
+    data = [(1, a), (9, a + " x"), (9, b), (None, a + " y"), (None, c), (7, d), (7, e), (7, e), (None, c), (2, None), (3, ""), (None, " \n")]
+    df = spark.createDataFrame([(*r, 5) for r in data], "doc_id bigint, text string, id int")
+    out = simhash.drop_near_copies(df)
+    assert out.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter([(1, a), (9, b), (None, c), (7, d), (7, e), (2, None)])
+
+
+def test_simhash_of_a_hot_fingerprint(spark):
+    """A third of all rows has one fingerprint, and a star of near ones has one centre."""
+    df = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'one hot text of some words' ELSE concat('t', id, ' u', id * 7, ' v', id % 11) END AS text")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, radius=2).collect()}
+    assert len(got) == 3000 and {got[i] for i in range(0, 3000, 3)} == {got[0]}
+
+
+def test_exact_dedup_ranges_follow_bytes():
+    found = sorted([(b"a", 3), (b"abc", 1), (b"abd", 9), (b"hot" * 50, 1), (b"hot" * 50, 2), (b"hot" * 50, 7), (b"z", 0)])
+    bounds = exact_dedup.cut(found, 7)
+    assert bounds == sorted(bounds) and (b"hot" * 50, 2) in bounds and all(len(t) < 4 for t, i in bounds if i < 0)
+    pid = exact_dedup._ranges(bounds, pa.array([t.decode() for t, _ in found]), pa.array([i for _, i in found]), 1).to_pylist()
+    assert pid == sorted(pid) and len(set(pid)) == len(bounds) + 1
+
+
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_exact_copies_over_many_ranges(spark, keep):
+    """A hot text over many ranges and batches; ids that repeat or are null; names that clash."""
+    df = spark.range(0, 3000, 1, 30).selectExpr(
+        "CASE WHEN id % 50 = 1 THEN null WHEN id % 50 = 2 THEN id - 1000 ELSE id END AS doc_id",
+        "CASE WHEN id % 3 = 0 THEN repeat('hot', 40) WHEN id % 7 = 0 THEN null WHEN id % 7 = 1 THEN '' ELSE concat('t', id % 200) END AS text", "id AS pid", "'x' AS txt")
+    best = {}
+    rank = lambda i: (i is None, i if keep == "min" else -(i or 0))
+    for i, t in texts(df):
+        best[t] = min(best.get(t, (None, None)), rank(i), key=lambda r: (r[0] is None, r))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        out = exact_dedup.drop_exact_copies(df, keep=keep)
+        assert out.columns == df.columns
+        got = texts(out)
+        marked = Counter(r["text_sha256"] for r in rows(exact_dedup.exact_dedup(df, keep=keep)) if r["kept"])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert len(got) == len(best) and all(rank(i) == best[t] for i, t in got)
+    assert marked == Counter(hashlib.sha256(t.encode()).hexdigest() for t in best)
