@@ -60,32 +60,34 @@ def sequence_in_groups(df: DataFrame, group: str, order: list[str], out: str) ->
     return _offsets_applied(at, group, out)
 
 
-def sequence_as_stored(df: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
-    """As sequence_in_groups, but rows stay in the partition they are read in: no shuffle. A group's order is that of
-    its partitions, then `order`."""
-    at = table(
-        df.sortWithinPartitions(group, *order).withColumn("_gs_at", F.monotonically_increasing_id()), "ranked"
-    ).withColumn("_gs_part", F.shiftright("_gs_at", 33))
-    return _offsets_applied(at, group, out)
-
-
-def _offsets_applied(at: DataFrame, group: str, out: str) -> DataFrame:
-    per = at.groupBy("_gs_part", F.col(group).alias("_gs_group")).agg(
-        F.count("*").alias("_gs_n"), F.min("_gs_at").alias("_gs_first")
+def sequence_as_stored(df: DataFrame, group: str, out: str) -> DataFrame:
+    """As sequence_in_groups, for rows read from files: a group's order is that of file names, then of rows in a file, so it
+    depends on the files alone; rows stay in the partition they are read in, with no shuffle."""
+    known = df.select("*", F.col("_metadata.file_name").alias("_gs_file"), F.col("_metadata.row_index").alias("_gs_row"))
+    at = table(known.sortWithinPartitions(group, "_gs_file", "_gs_row").withColumn("_gs_at", F.monotonically_increasing_id()), "ranked")
+    return _offsets_applied(at.withColumn("_gs_part", F.shiftright("_gs_at", 33)), group, out, "_gs_file", "_gs_row")
+
+
+def _offsets_applied(at: DataFrame, group: str, out: str, file: str = "", row: str = "") -> DataFrame:
+    named = [F.col(file).alias("_gs_name")] if file else []
+    per = at.groupBy("_gs_part", F.col(group).alias("_gs_group"), *named).agg(
+        F.count("*").alias("_gs_n"), F.min("_gs_at").alias("_gs_first"), F.min(row or "_gs_part").alias("_gs_begin")
     )
-    # One row a partition and group: the window reads those, never the rows themselves.
-    per = per.selectExpr(
+    # One row a partition, file and group: the window reads those, never the rows themselves.
+    per = table(per.selectExpr(
         "_gs_part AS _gs_part_r",
         "_gs_group",
+        *(["_gs_name"] if file else []),
         "_gs_first",
-        "coalesce(sum(_gs_n) OVER (PARTITION BY _gs_group ORDER BY _gs_part"
+        f"coalesce(sum(_gs_n) OVER (PARTITION BY _gs_group ORDER BY {'_gs_name, _gs_begin' if file else '_gs_part'}"
         " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _gs_before",
-    )
-    joined = at.join(
-        per, (F.col("_gs_part") == F.col("_gs_part_r")) & F.col(group).eqNullSafe(F.col("_gs_group")), "inner"
-    )
+    ), "offsets")
+    same = (F.col("_gs_part") == F.col("_gs_part_r")) & F.col(group).eqNullSafe(F.col("_gs_group"))
+    if file:
+        same &= F.col(file) == F.col("_gs_name")
+    joined = at.join(F.broadcast(per) if per.count() <= BROADCAST_ROWS else per, same)
     return joined.withColumn(out, F.col("_gs_before") + F.col("_gs_at") - F.col("_gs_first") + 1).drop(
-        "_gs_at", "_gs_part", "_gs_part_r", "_gs_group", "_gs_first", "_gs_before"
+        "_gs_at", "_gs_part", "_gs_part_r", "_gs_group", "_gs_first", "_gs_before", "_gs_name", *([file, row] if file else [])
     )
 
 
