@@ -5,7 +5,9 @@ pieces; so the right one is the only path without a forbidden step. Weights are
 for one that doesn't, and paths are solved in the max-plus semiring. A chunk of a giant text gives a matrix from the
 pieces that may cross its left boundary to those that may cross its right one; matrices are combined by an associative
 product, a scan over them (and one from the right) picks the piece at each boundary, and every chunk is then traced
-back by itself. Texts under the chunk size take the merges directly, by units that no piece crosses.
+back by itself, all of it through the lattice: its ends from state to state, and what lies between places that no piece
+crosses by the lattice of all units at once (lattice.py), where a unit's matrix is one number. Texts under the chunk size
+are one chunk: no boundary, nothing to scan; they take the merges, by units, with the same result.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from .common import map_batches, table
+from .lattice import Lattice
 from .ragged import PairTable, gather
 from .words import fresh, slices
 
@@ -63,6 +66,8 @@ class Codec:
         self.piece_bytes, self.piece_sizes = np.frombuffer(b"".join(parts), np.uint8), np.array(list(map(len, parts)))
         self.piece_starts = np.cumsum(self.piece_sizes) - self.piece_sizes
         self.kept: dict[str, bytes] = {}
+        self.kept_paths: dict[str, bytes] = {}
+        self.lattice: Lattice | None = None
         self.pairs: dict[tuple[str, str], bool] = {}
 
     @staticmethod
@@ -98,15 +103,20 @@ class Codec:
                     left.append(a), right.append(b), rank.append(ranks[self.score[piece]]), made.append(i)
         return PairTable(left, right, rank, made)
 
-    def solve(self, units: list[str]) -> list[bytes]:
-        """Ids of each unit as int32 bytes."""
+    def solve(self, units: list[str], paths: bool = False) -> list[bytes]:
+        """Ids of each unit as int32 bytes: by merges, or (paths) by the best paths through the lattice."""
         # Different pieces with one score go by place, not by rank: that can only be in runs of spaces.
         plain = [len(u) <= LONGEST_KEPT and SPACE + SPACE not in u for u in units]
         some = [u for u, p in zip(units, plain, strict=True) if p]
         points = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32).astype(np.int64)
-        distinct, at = np.unique(points, return_inverse=True)
-        symbols = np.array([self.ids.get(chr(c), (1 << 21) + c) for c in distinct.tolist()], np.int64)[at] if len(points) else points
-        symbols, sizes = self.table.merge(symbols, np.fromiter(map(len, some), np.int64, len(some)))
+        lengths = np.fromiter(map(len, some), np.int64, len(some))
+        if paths and len(points):
+            self.lattice = self.lattice or Lattice(self.ids, self.table)
+            symbols, sizes = self.lattice.solve(points, lengths)
+        else:
+            distinct, at = np.unique(points, return_inverse=True)
+            symbols = np.array([self.ids.get(chr(c), (1 << 21) + c) for c in distinct.tolist()], np.int64)[at] if len(points) else points
+            symbols, sizes = self.table.merge(symbols, lengths)
         foreign = np.flatnonzero(symbols >= 1 << 21)
         if len(foreign):  # characters without a piece become their bytes
             owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -118,12 +128,12 @@ class Codec:
             sizes = np.bincount(owner, minlength=len(sizes))
         data, ends = symbols.astype(np.int32).tobytes(), (np.cumsum(sizes) * 4).tolist()
         made = iter([data[a:b] for a, b in zip([0, *ends], ends, strict=False)])
-        whole = lambda u: self.merge(u) if len(u) <= LONGEST_KEPT else self.path(u)
+        whole = lambda u: self.path(u) if paths or len(u) > LONGEST_KEPT else self.merge(u)
         return [next(made) if p else np.array([i for x in whole(u) for i in self.id_of(x)], np.int32).tobytes() for u, p in zip(units, plain, strict=True)]
 
-    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_units(self, units: list[str], paths: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units, laid end to end, and how many each has."""
-        kept = self.kept
+        kept = self.kept_paths if paths else self.kept
         new = list({u for u in units if u not in kept})
         extra: dict[str, bytes] = {}
         if new:
@@ -131,7 +141,7 @@ class Codec:
                 kept.clear()
                 new = list(set(units))
             for at in range(0, len(new), 100_000):
-                extra.update(zip(new[at : at + 100_000], self.solve(new[at : at + 100_000]), strict=True))
+                extra.update(zip(new[at : at + 100_000], self.solve(new[at : at + 100_000], paths), strict=True))
             kept.update((u, b) for u, b in extra.items() if len(u) <= LONGEST_KEPT)
         found = [kept[u] if u in kept else extra[u] for u in units]
         return np.frombuffer(b"".join(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)) // 4
@@ -243,20 +253,41 @@ class Codec:
         units = [u for u in units if u > low + self.longest and u < high - self.longest]
         return (units[0], units[-1]) if units else None
 
+    def spread(self, text: str, left: list[tuple[int, int]], upto: int, stop: int) -> dict[tuple[int, int], int]:
+        """All pieces met on paths of weight 0 from the states, begun before upto, each with the set of states that reach it
+        as a number's bits: one pass for all states, whose paths soon run together."""
+        reached: dict[tuple[int, int], int] = {}
+        open_: dict[int, list[tuple[int, int]]] = {}
+        for k, state in enumerate(left):
+            reached[state] = reached.get(state, 0) | 1 << k
+            if state not in open_.setdefault(state[1], []):
+                open_[state[1]].append(state)
+        for at in range(min(open_, default=upto), upto):
+            for piece in open_.pop(at, ()):
+                text_left = text[piece[0] : piece[1]]
+                for end in self.starting(text, at, stop):
+                    if self.stays(text_left, text[at:end]):
+                        if (at, end) not in reached:
+                            open_.setdefault(end, []).append((at, end))
+                        reached[at, end] = reached.get((at, end), 0) | reached[piece]
+        return reached
+
     def transfer(self, before: str, chunk: str, after: str) -> np.ndarray:
         """Weights from the left boundary's states to the right one's, through this chunk."""
         text, low, high, left, right = self._edges(before, chunk, after)
         safe = self._safe(text, low, high)
         if safe is None:
-            out = np.full((len(left), len(right)), NO)
-            for i, state in enumerate(left):
-                back = self.reach(text, state, high, len(text))
-                out[i] = [0.0 if r in back else NO for r in right]
-            return out
-        # All paths pass the safe places: a column of weights times a row.
-        enter = np.array([0.0 if any(p[1] == safe[0] for p in self.reach(text, s, safe[0], safe[0])) or s[1] == safe[0] else NO for s in left])
+            found = self.spread(text, left, high, len(text))
+            return np.array([[0.0 if found.get(r, 0) >> i & 1 else NO for r in right] for i in range(len(left))]).reshape(len(left), len(right))
+        # All paths pass the safe places: a column, the one weight of what lies between, and a row.
+        ends: dict[int, int] = {}
+        for (_, end), states in self.spread(text, left, safe[0], safe[0]).items():
+            ends[end] = ends.get(end, 0) | states
+        enter = np.array([[0.0 if ends.get(safe[0], 0) >> i & 1 else NO] for i in range(len(left))])
+        self.encode_units(self.units.findall(text[safe[0] : safe[1]]), paths=True)  # raises without a path of weight 0
         back = self.reach(text, (safe[1], safe[1]), high, len(text))
-        return enter[:, None] + np.array([0.0 if r in back else NO for r in right])[None, :]
+        leave = np.array([[0.0 if r in back else NO for r in right]])
+        return product(product(enter, np.zeros((1, 1))), leave)
 
     def trace(self, before: str, chunk: str, after: str, enter: int, leave: int) -> list[int]:
         """Ids of the pieces that begin in this chunk, given the states at its two boundaries."""
@@ -269,7 +300,7 @@ class Codec:
             return ids(pieces)
         back = self.reach(text, first, safe[0], safe[0])
         (turn,) = [p for p in back if p[1] == safe[0]]
-        middle = self.encode_units(self.units.findall(text[safe[0] : safe[1]]))[0].tolist()
+        middle = self.encode_units(self.units.findall(text[safe[0] : safe[1]]), paths=True)[0].tolist()
         return ids(self._trace(back, turn)) + middle + ids(self._trace(self.reach(text, (safe[1], safe[1]), high, len(text)), last))
 
 
