@@ -11,13 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import BROADCAST_ROWS, HOT_KEYS, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 START, END = "\x02", "\x03"
 ALPHABET = 256
-#: The model table is broadcast up to so many rows (about 64 bytes each), else joined by a shuffle.
-BROADCAST_ROWS = 500_000
 #: One in so many labelled URLs calibrates the threshold instead of being counted.
 CALIBRATE_ONE_IN = 5
 
@@ -69,6 +67,13 @@ def gram_scores(counts: DataFrame, order: int) -> DataFrame:
     return made.select(F.col("g").alias("gram"), (F.log("la") - F.log("lb")).alias("llr"))
 
 
+def met(rows: DataFrame, side: DataFrame, on: list[str], often) -> DataFrame:
+    """rows joined to side, which has a row for each key. Keys that `often` holds for, a condition on side that a bounded
+    number of them meet, are broadcast, so that a key with very many rows never fills one task."""
+    hot = F.broadcast(side.filter(often))
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(side.filter(~often), on))
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", order: int = 4) -> DataFrame:
     """id, host, path, rule, verdict, score for every row of pages.
 
@@ -83,30 +88,33 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "p
     held = F.crc32(F.concat("host", "path").cast("binary")) % CALIBRATE_ONE_IN == 0
 
     # Each distinct host and path once from here: how often it occurs is its weight.
-    urls = judged.groupBy("host", "path", "said").agg(F.count("*").alias("n")).withColumn("held", held)
+    urls = table(judged.groupBy("host", "path", "said").agg(F.count("*").alias("n")).withColumn("held", held), "urls")
     grams = _grams(urls, order)
-    counted = ~F.col("held")
+    counted, asks = ~F.col("held"), F.col("said").isNull() | F.col("held")
     counts = table(
         grams.groupBy("gram").agg(
             F.sum(F.when(counted & (F.col("said") == "allow"), F.col("n")).otherwise(0)).alias("a"),
             F.sum(F.when(counted & (F.col("said") == "block"), F.col("n")).otherwise(0)).alias("b"),
+            F.count(F.when(asks, 1)).alias("asked"),
         ),
         "url-grams",
     )
-    model = table(gram_scores(counts, order), "url-model")
-    model = F.broadcast(model) if model.count() <= BROADCAST_ROWS else model
-    # Only URLs that the model decides, or that calibrate it, are scored.
-    asked = grams.filter(F.col("said").isNull() | F.col("held")).join(model, "gram")
+    model = table(gram_scores(counts, order).join(counts.select(F.col("gram").alias("c_gram"), "asked"), F.col("gram") == F.col("c_gram")).filter("asked > 0").select("gram", "llr", "asked"), "url-model")
+    # Only URLs that the model decides, or that calibrate it, are scored. Grams that very many URLs have are few: those are
+    # broadcast, and only the others' rows are shuffled by gram.
+    rows, total = model.agg(F.count("*"), F.coalesce(F.sum("asked"), F.lit(0))).first()
+    asked = met(grams.filter(asks), model, ["gram"], F.lit(rows <= BROADCAST_ROWS) | (F.col("asked") >= max(1000, total // HOT_KEYS)))
     scores = table(asked.groupBy("host", "path", "said", "n").agg((F.sum("llr") / F.count("*")).alias("score")), "url-scores")
     # One row of quantiles goes to the driver.
     cut = scores.agg(
         F.expr("percentile_approx(score, 0.05, 10000) FILTER (WHERE said = 'allow')").alias("low"),
         F.expr("percentile_approx(score, 0.95, 10000) FILTER (WHERE said = 'block')").alias("high"),
+        F.expr("coalesce(sum(n), 0)").alias("rows"),
     ).first()
-    threshold = float("-inf") if cut is None or cut.low is None or cut.high is None else (cut.low + cut.high) / 2
+    threshold = float("-inf") if cut.low is None or cut.high is None else (cut.low + cut.high) / 2
     decided = judged.filter("said IS NOT NULL").select("_gs_id", "host", "path", "rule", F.col("said").alias("verdict"), F.lit(None).cast("double").alias("score"))
-    own = scores.filter("said IS NULL").select(F.col("host").alias("s_host"), F.col("path").alias("s_path"), "score")
-    open_ = judged.filter("said IS NULL").join(own, (F.col("host") == F.col("s_host")) & (F.col("path") == F.col("s_path")), "left")
+    own = scores.filter("said IS NULL").select("host", "path", "score", "n")
+    open_ = met(judged.filter("said IS NULL"), own, ["host", "path"], F.col("n") >= max(1000, cut.rows // HOT_KEYS))
     verdict = F.when(F.col("score") < threshold, F.lit("block")).otherwise(F.lit("allow"))
     asked_rows = open_.select("_gs_id", "host", "path", "rule", verdict.alias("verdict"), "score")
     return decided.unionByName(asked_rows).withColumnRenamed("_gs_id", id_col)
