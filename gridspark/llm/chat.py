@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import SALTS, join_hot, table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -56,15 +56,17 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     reached, jumps = rooted(messages)
     parents = messages.filter("parent IS NOT NULL").select(F.col("tree").alias("p_tree"), F.col("parent").alias("p_id")).distinct()
     leaves = reached.join(parents, F.col("tree").eqNullSafe(F.col("p_tree")) & (F.col("id") == F.col("p_id")), "left_anti")
-    ranked = leaves.selectExpr("tree", "id AS leaf", "depth", "score / depth AS mean").selectExpr(
-        "*", "row_number() OVER (PARTITION BY tree ORDER BY mean DESC, leaf) AS branch", "count(*) OVER (PARTITION BY tree) AS n_leaves"
-    )
-    chosen = table(ranked.filter(F.col("branch") <= branches).select("tree", "leaf", "depth", "branch", "n_leaves"), "leaves")
+    leaves = table(leaves.selectExpr("tree", "id AS leaf", "depth", "score / depth AS mean"), "leaves")
+    # A tree's leaves are ranked in SALTS parts first, so a tree with very many of them never meets in one task.
+    best = f"row_number() OVER (PARTITION BY tree, pmod(xxhash64(leaf), {SALTS}) ORDER BY mean DESC, leaf) AS part_rank"
+    ranked = leaves.selectExpr("*", best).filter(F.col("part_rank") <= branches).selectExpr("*", "row_number() OVER (PARTITION BY tree ORDER BY mean DESC, leaf) AS branch")
+    counts = leaves.groupBy(F.col("tree").alias("n_tree")).agg(F.count("*").alias("n_leaves"))
+    chosen = table(ranked.filter(F.col("branch") <= branches).join(counts, F.col("tree").eqNullSafe(F.col("n_tree"))).select("tree", "leaf", "depth", "branch", "n_leaves"), "chosen")
     # A tree with one leaf and one root is its own path.
     roots = reached.filter("depth = 1").groupBy(F.col("tree").alias("r_tree")).agg(F.count("*").alias("n_roots"))
     chosen = chosen.join(roots, F.col("tree").eqNullSafe(F.col("r_tree"))).drop("r_tree")
     plain = chosen.filter("n_leaves = 1 AND n_roots = 1").select(F.col("tree").alias("c_tree"), "branch")
-    whole = reached.join(plain, F.col("tree").eqNullSafe(F.col("c_tree"))).select("tree", "branch", "id", F.col("depth").alias("place"))
+    whole = join_hot(reached, plain, "tree", "c_tree").select("tree", "branch", "id", F.col("depth").alias("place"))
     forked = chosen.filter("n_leaves > 1 OR n_roots > 1")
     if not forked.take(1):
         return whole
@@ -84,13 +86,14 @@ def format_chats(messages: DataFrame, branches: int = 1, learn_from: str = "assi
     text escaped. mask: for each turn to learn from, its number (from 0) and the start (from 0) and length, in code points
     of that turn, of its escaped text. Null role, text and score count as '', '' and 0; a null tree
     is a tree of its own. A message whose parent is missing
-    is a root; of messages that repeat an id one stays; messages that reach no root (cycles) are left out. An empty table
+    is a root; of messages that repeat an id the one with the least (parent, role, text, score) stays, nulls first; messages that reach no root (cycles) are left out. An empty table
     gives an empty result. Other columns are not read."""
     rows = messages.select(
         F.col("tree").cast("bigint"), F.col("id").cast("bigint"), F.col("parent").cast("bigint"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    rows = rows if ids_unique else rows.dropDuplicates(["tree", "id"])
+    if not ids_unique:
+        rows = rows.groupBy("tree", "id").agg(F.min(F.struct("parent", "role", "text", "score")).alias("m")).select("tree", "id", "m.*")
     paths = best_paths(rows.select("tree", "id", "parent", "score"), branches)
     head = F.concat(F.lit(OPEN), escape(F.col("role"), newline=True), F.lit("\n"))
     turns = rows.select(F.col("tree").alias("t_tree"), F.col("id").alias("t_id"), head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == learn_from).alias("learn"))
