@@ -2,7 +2,7 @@
 
 Each text's counts become a vector of transformed statistics. For each language and source the minimum covariance
 determinant estimate gives the centre and scatter of the bulk: from medians, concentration steps re-estimate both from the
-three quarters of rows that lie nearest, until they settle, then once more from all rows within the 97.5 % ellipsoid. Rows
+three quarters of rows that lie nearest, until centres settle (or `steps` are done), then once more from all rows within the 97.5 % ellipsoid. Rows
 whose Mahalanobis distance passes a chi-square limit are rejected. Steps are aggregates over all rows; what they pass on is
 one row for each language and source.
 """
@@ -28,8 +28,8 @@ FEATURES = {
     "word_length": ("word_chars / n_words", 0.35),
     "symbols": ("sqrt(n_symbols / word_chars)", 0.05),
     "capitals": ("sqrt(n_upper / word_chars)", 0.05),
-    "repeats": ("sqrt(n_repeat_words / n_words)", 0.16),
-    "dup_lines": ("sqrt(n_dup_lines / greatest(n_lines, 1))", 0.16),
+    "repeats": ("sqrt(n_repeat_words / n_words)", 0.1),
+    "dup_lines": ("sqrt(n_dup_lines / greatest(n_lines, 1))", 0.1),
 }
 #: Chi-square quantiles for 5 degrees of freedom (fixed values): 0.75, 0.975 and 1 - 1e-6; and the shares of the
 #: chi-square law with 7 degrees below the first two.
@@ -142,16 +142,25 @@ def scatter(vectors: DataFrame, steps: int, groups: int = BROADCAST_ROWS + 1) ->
         far = _with(vectors, estimate, groups)
         limit = far.groupBy("grp").agg(F.percentile_approx("d2", NEAREST, 1000).alias("limit")).withColumnRenamed("grp", "l_grp")
         near = join_groups(far, limit, groups, "grp", "l_grp").filter("d2 <= limit")
-        estimate = _moments(near, NEAREST / SHARE_NEAREST)
+        before, estimate = estimate, _moments(near, NEAREST / SHARE_NEAREST)
+        if settled(before, estimate):
+            break
     return _moments(_with(vectors, estimate, groups).filter(F.col("d2") <= CHI_WEIGHT), 0.975 / SHARE_WEIGHT)
 
 
+def settled(before: DataFrame, after: DataFrame) -> bool:
+    """Whether no group's centre has moved by more than a hundredth of a floor. One number comes to the driver."""
+    old = before.select(F.col("grp").alias("b_grp"), F.col("centre").alias("b_centre"))
+    moved = F.greatest(*(F.abs(F.col("centre")[i] - F.col("b_centre")[i]) / f for i, (_, f) in enumerate(FEATURES.values())))
+    return (after.join(old, F.col("grp") == F.col("b_grp")).agg(F.max(moved)).first()[0] or 0.0) < 0.01
+
+
 def _with(vectors: DataFrame, estimate: DataFrame, groups: int) -> DataFrame:
     joined = join_groups(vectors, estimate.withColumnRenamed("grp", "e_grp"), groups, "grp", "e_grp")
     return joined.withColumn("d2", F.expr(_distance())).drop("e_grp", "centre", "inverse")
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), least_rows: int = 50, steps: int = 4, least_words: int = 50, repeat_percent: int = 50) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), least_rows: int = 50, steps: int = 10, least_words: int = 50, repeat_percent: int = 50) -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance for every row of docs.
 
     Words are parted by ASCII white space; a null text has none. base_failed: under least_words words, or over
