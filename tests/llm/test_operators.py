@@ -115,11 +115,13 @@ def test_mixing(spark, docs, odd, none):
     sizes, period = {s: round(w * 1000) for s, w in share.items()}, 1000
     done, plan = dict.fromkeys(sizes, 0), {}
     for t in range(period):
-        ready = [(-(-(done[s] + 1) * period // n), s) for s, n in sizes.items() if done[s] < n and done[s] * period // n <= t]
-        s = min(ready)[1]
+        ready = [(-(-(done[s] + 1) * period // n), -n, s) for s, n in sizes.items() if done[s] < n and done[s] * period // n <= t]
+        s = min(ready)[2]
         done[s] += 1
         plan[s, done[s]] = t
     assert all(plan[s, b] == slot for s, blocks in by.items() for b, slot in blocks.items() if (s, b) in plan)
+    clash = df.limit(50).withColumn("mix_slot", F.lit("mine"))
+    assert {type(r["mix_slot"]) for r in mixing.mix(clash).collect()} == {int}
     for df in (docs, odd, none):
         out = mixing.mixed_order(df)
         assert out.columns == df.columns and Counter(map(str, out.collect())) == Counter(map(str, df.collect()))
@@ -579,3 +581,120 @@ def test_exact_copies_over_many_ranges(spark, keep):
         spark.conf.set("spark.sql.shuffle.partitions", 8)
     assert len(got) == len(best) and all(rank(i) == best[t] for i, t in got)
     assert marked == Counter(hashlib.sha256(t.encode()).hexdigest() for t in best)
+
+
+def test_language_id_learns_from_long_texts(spark):
+    """A language that has long texts only is learned all the same, in one pass or in several."""
+    rng = np.random.default_rng(2)
+    def some(letters, n):
+        return " ".join("".join(rng.choice(list(letters), rng.integers(2, 8))) for _ in range(n))
+    data = [(i, some("abcde", 20), "aa") for i in range(40)] + [(100 + i, some("vwxyz", 4000), "zz") for i in range(40)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string").repartition(4)
+    for size in (language_id.TREE_BYTES, 1):
+        before, language_id.TREE_BYTES = language_id.TREE_BYTES, size
+        try:
+            got = {r["doc_id"]: r for r in language_id.identify(df).collect()}
+        finally:
+            language_id.TREE_BYTES = before
+        assert all(got[i]["lang_pred"] == lang and 0.99 < got[i]["score"] <= 1 for i, _, lang in data)
+
+
+def test_mixing_of_many_sources(spark):
+    """More sources than shares, most of them of one share: each has its own slots, within its deadlines."""
+    df = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN id % 4 = 0 THEN 'big' ELSE concat('s', id % 1999) END AS source")
+    got = rows(mixing.mix(df, block_rows=1, shares=100))
+    share = {r["source"]: r["share"] for r in rows(mixing.target_shares(df, shares=100))}
+    assert len(share) == 2000 and sum(share.values()) == 2000 and share["big"] == max(share.values())
+    assert len(got) == 6000 == len({r["mix_slot"] for r in got}) and all(r["mix_release"] <= r["mix_slot"] < r["mix_deadline"] for r in got)
+
+
+def test_mixed_order_depends_on_the_files_alone(spark, docs, tmp_path):
+    path, key = str(tmp_path / "docs"), "spark.sql.files.maxPartitionBytes"
+    docs.repartition(3).write.parquet(path)
+    found = []
+    for size in ("128m", "16k"):
+        spark.conf.set(key, size)
+        try:
+            found.append([r["mix_slot"] for r in mixing.mix(spark.read.parquet(path), block_rows=4, by_id=False).orderBy("doc_id", "mix_slot").collect()])
+        finally:
+            spark.conf.unset(key)
+    assert found[0] == found[1]
+
+
+def plain_quality(docs_, least_rows=50):
+    """kept by numpy alone: the same estimate, group by group."""
+    feats, groups = {}, defaultdict(list)
+    for k, (lang, source, t) in enumerate(docs_):
+        w = WORD.findall(t)
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        n = Counter(grams)
+        rep = len({i + x for i, g in enumerate(grams) if n[g] > 1 for x in range(3)})
+        if len(w) < 50 or 100 * rep > 50 * len(w):
+            continue
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        chars = sum(map(len, w))
+        feats[k] = [chars / len(w), math.sqrt(sum(c in "#*$%&|<>" for c in t) / chars), math.sqrt(sum("A" <= c <= "Z" for c in t) / chars), math.sqrt(rep / len(w)), math.sqrt((len(lines) - len(set(lines))) / max(len(lines), 1))]
+        groups[lang or "", source or ""].append(k)
+    merged = defaultdict(list)
+    for g, ks in groups.items():
+        merged[g if len(ks) >= least_rows else "*"] += ks
+    floor = np.diag(np.square([f for _, f in quality.FEATURES.values()]))
+    kept = set()
+    for ks in merged.values():
+        x = np.array([feats[k] for k in ks])
+        centre, inverse = np.percentile(x, 50, axis=0, method="inverted_cdf"), np.linalg.inv(floor)
+
+        def distances(centre, inverse, x=x):
+            return np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre)
+
+        def moments(rows_, factor):
+            return rows_.mean(0), np.linalg.inv(np.cov(rows_.T, bias=True) * factor + floor)
+
+        for _ in range(10):
+            d = distances(centre, inverse)
+            old = centre
+            centre, inverse = moments(x[d <= np.percentile(d, 75, method="inverted_cdf")], 0.75 / 0.5309)
+            if (abs(centre - old) / np.sqrt(np.diag(floor))).max() < 0.01:
+                break
+        centre, inverse = moments(x[distances(centre, inverse) <= 12.8325], 0.975 / 0.9239)
+        kept |= {k for k, d in zip(ks, distances(centre, inverse)) if d <= 35.8882}
+    return kept
+
+
+def test_quality_keeps_what_a_plain_estimate_keeps(spark):
+    df = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet")
+    data = [(r["doc_id"], r["lang"], r["source"], r["text"] or "") for r in df.collect()]
+    want = plain_quality([d[1:] for d in data])
+    got = {r["doc_id"]: r["kept"] for r in rows(quality.quality(df))}
+    off = [d[0] for k, d in enumerate(data) if got[d[0]] != (k in want)]
+    assert len(off) <= 2, off
+
+
+def test_quality_rejects_an_outlier_in_each_statistic(spark):
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("etaoinshr"), rng.integers(3, 7)))
+    line = lambda: " ".join(word() for _ in range(8)).capitalize()
+    plain = lambda: "\n".join(line() for _ in range(20))
+    twice = [line() for _ in range(5)]
+    odd_ones = ["\n".join("x" * 9 + " " + line().replace(" ", "iiiiiii ") for _ in range(20)), plain().replace("a", "#"), plain().upper(), "\n".join([*twice, *twice, *(line() for _ in range(15))]), "\n".join(["same words", *(x for _ in range(14) for x in (line(), "same words"))])]
+    df = spark.createDataFrame([(i, plain(), "en", "a") for i in range(300)] + [(1000 + i, t, "en", "a") for i, t in enumerate(odd_ones)], "doc_id bigint, text string, lang string, source string")
+    got = {r["doc_id"]: (r["kept"], r["base_failed"]) for r in rows(quality.quality(df))}
+    assert all(got[i][0] for i in range(300)) and not any(got[1000 + i][0] for i in range(5)), [got[1000 + i] for i in range(5)]
+
+
+def test_chat_ranks_the_leaves_of_a_hot_tree(spark):
+    """One root with very many replies, beside small trees; a repeated id keeps its least row."""
+    df = spark.range(4000).selectExpr("IF(id < 3000, 1L, id) AS tree", "id", "IF(id < 3000 AND id > 0, 0L, NULL) AS parent", "'assistant' AS role", "string(id) AS text", "cast(id * 7 % 2999 AS double) AS score")
+    df = df.unionByName(spark.createDataFrame([(3500, 3500, None, "assistant", "0", 1.0)], df.schema))
+    got = [r.asDict() for r in chat.format_chats(df, branches=3).collect()]
+    best = sorted(range(1, 3000), key=lambda i: (-(i * 7 % 2999) / 2, i))[:3]
+    hot = sorted((r for r in got if r["tree"] == 1), key=lambda r: r["branch"])
+    assert [r["formatted"].split("\n")[3].removesuffix("<|im_end|>") for r in hot] == [str(i) for i in best] and len(got) == 1003
+    assert ">assistant\n0<|" in next(r["formatted"] for r in got if r["tree"] == 3500)
+
+
+def test_token_counts_of_one_giant_run():
+    model = tokenizer_path("byte_bpe_50k.json")
+    rng = np.random.default_rng(4)
+    t = ["".join(rng.choice(list("theinga"), 9000)), "a" * 5000, "日本" * 2000 + " end"]
+    assert token_counts.Merges(model).tokens(pa.array(t)).tolist() == [len(Tokenizer.from_file(model).encode(x, add_special_tokens=False).ids) for x in t]
