@@ -18,7 +18,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import map_batches, table
 from .words import give_back
@@ -60,6 +59,8 @@ def cut(found: list[tuple[bytes, int]], parts: int) -> list[tuple[bytes, int]]:
     held = 0
     for k in sorted({len(found) * i // parts for i in range(1, parts)} - {0}):
         (before, _), (text, at) = found[k - 1], found[k]
+        if found[k] == found[k - 1]:  # no bound between rows alike: a bound with an id has a row of its text before it
+            continue
         if text == before:
             bound = (text, at)
         else:
@@ -221,18 +222,21 @@ def _edges(runs: DataFrame, best: str) -> DataFrame:
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """docs without its copies, columns unchanged: of equal texts the row with the smallest id stays (keep="max": the
     largest), of rows that repeat the id one. A null text counts as empty; null ids lose against any other. An empty table
-    gives an empty result. Names that begin with _gs_ are reserved.
+    gives an empty result. Names that begin with _gs_ are reserved. docs is read twice, and has to be the same each time.
 
     Rows go through the same ranges, sort and comparisons as in exact_dedup, whole and once: in an input batch only the best
-    row of a text is kept, and of the sorted rows those that differ from the row before them."""
+    row of a text is kept, and of the sorted rows those that differ from the row before them. A range that begins within the
+    rows of one text begins with copies: the sampled row before its bound has that text and lies in a range before it."""
     if keep not in ("min", "max"):
         raise ValueError("keep is 'min' or 'max'")
     sign, parts = (1 if keep == "min" else -1), _parts(docs)
+    plain = dict(docs.dtypes)[text_col] == "string"
     text, ident = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("bigint")
     bounds = splitters(docs.select(text.alias("txt"), ident.alias("id")), parts, sign)
-    keyed = docs.select("*", text.alias("_gs_txt"), ident.alias("_gs_id"), F.lit(0).alias("_gs_pid"))
+    # The text goes once: whether it was null is told by a flag.
+    own = [c for c in docs.columns if c != text_col or not plain]
+    keyed = docs.select(*(F.col(f"`{c}`") for c in own), F.col(text_col).isNull().alias("_gs_null"), text.alias("_gs_txt"), ident.alias("_gs_id"), F.lit(0).alias("_gs_pid"))
     n = len(keyed.columns)
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in keyed.schema])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,53 +247,24 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             best = batch.take(pa.array(np.sort(order[np.concatenate([[True], np.diff(codes[order]) != 0])])))
             pid = _ranges(bounds, best.column(n - 3), best.column(n - 2), sign)
             yield pa.RecordBatch.from_arrays([*best.columns[:-1], pid], schema=best.schema)
-        give_back()
+            give_back()
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows that differ from the one before; _gs_pid stays, _gs_txt only in rows that begin a range and in a last row, not to
-        be kept, that says what a range ends with (its _gs_id is null)."""
-        blank = pa.scalar(None, pa.string())
-        last: pa.RecordBatch | None = None
+        text, pid = None, -1
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts, pids = batch.column(n - 3), batch.column(n - 1)
-            if last is not None:
-                texts = pa.concat_arrays([last.column(n - 3), texts])
-                pids = pa.concat_arrays([last.column(n - 1), pids])
-            same_pid = np.diff(pids.to_numpy()) == 0
-            same = same_pid & pc.equal(texts.slice(1), texts.slice(0, len(texts) - 1)).to_numpy(zero_copy_only=False)
-            new, begins = ~same, ~same_pid
-            if last is None:
-                new, begins = np.concatenate([[True], new]), np.concatenate([[True], begins])
-            ends = np.flatnonzero(begins)
-            shown = pc.if_else(pa.array(begins), batch.column(n - 3), blank)
-            mark = pa.array(np.ones(batch.num_rows, np.int64))
-            out = pa.RecordBatch.from_arrays([*batch.columns[: n - 3], shown, mark, batch.column(n - 1)], schema=batch.schema)
-            yield out.filter(pa.array(new))
-            # The last row of each range that ends here.
-            for k in ends.tolist():
-                done = last if k == 0 else batch.slice(k - 1, 1)
-                if done is not None:
-                    yield _end(done, n)
-            last = batch.slice(batch.num_rows - 1, 1)
-        if last is not None:
-            yield _end(last, n)
-
-    dealt = map_batches(keyed, fold, schema).repartitionById(len(bounds) + 1, "_gs_pid")
+            texts, pids = batch.column(n - 3), batch.column(n - 1).to_numpy()
+            same = (pids[1:] == pids[:-1]) & pc.equal(texts.slice(1), texts.slice(0, len(texts) - 1)).to_numpy(zero_copy_only=False)
+            new = ~np.concatenate([[pids[0] == pid and texts[0].as_py() == text], same])
+            for k in np.unique(pids[new]).tolist():
+                if k and bounds[k - 1][1] != -LAST - 1:
+                    new &= (pids != k) | pc.not_equal(texts, bounds[k - 1][0].decode()).to_numpy(zero_copy_only=False)
+            text, pid = texts[len(texts) - 1].as_py(), int(pids[-1])
+            yield batch.filter(pa.array(new))
+            give_back()
+
+    dealt = map_batches(keyed, fold, keyed.schema).repartitionById(len(bounds) + 1, "_gs_pid")
     order = F.col("_gs_id").asc_nulls_last() if sign > 0 else F.col("_gs_id").desc_nulls_last()
-    walked = table(map_batches(dealt.sortWithinPartitions("_gs_pid", "_gs_txt", order), walk, schema), "walked")
-    # Ranges are in order: a range's first row is a copy if the range before it, of those with rows, ends with its text.
-    tails = walked.filter("_gs_id IS NULL").select(F.col("_gs_pid").alias("t_pid"), F.col("_gs_txt").alias("t_txt"))
-    heads = walked.filter("_gs_id IS NOT NULL AND _gs_txt IS NOT NULL").select(F.col("_gs_pid").alias("h_pid"), F.col("_gs_txt").alias("h_txt"))
-    # Two numbers for each range in this window, never a text.
-    steps = tails.select("t_pid").selectExpr("t_pid AS s_pid", "lag(t_pid) OVER (ORDER BY t_pid) AS s_before")
-    gone = heads.join(steps, F.col("h_pid") == F.col("s_pid")).join(tails, (F.col("s_before") == F.col("t_pid")) & (F.col("h_txt") == F.col("t_txt"))).select(F.col("h_pid").alias("_gs_gone"))
-    out = walked.filter("_gs_id IS NOT NULL").join(F.broadcast(gone), (F.col("_gs_pid") == F.col("_gs_gone")) & F.col("_gs_txt").isNotNull(), "left_anti")
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
-
-
-def _end(row: pa.RecordBatch, n: int) -> pa.RecordBatch:
-    """What tells a range's last text: the row, marked by a null id."""
-    empty = [pa.nulls(1, c.type) for c in row.columns[: n - 3]]
-    return pa.RecordBatch.from_arrays([*empty, row.column(n - 3), pa.nulls(1, pa.int64()), row.column(n - 1)], schema=row.schema)
+    out = map_batches(dealt.sortWithinPartitions("_gs_pid", "_gs_txt", order), walk, keyed.schema)
+    return out.select(*(F.when(~F.col("_gs_null"), F.col("_gs_txt")).alias(c) if c == text_col and plain else F.col(f"`{c}`") for c in docs.columns))

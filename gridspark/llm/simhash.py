@@ -405,8 +405,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius:
     nodes = table(prints.groupBy("node").agg(F.min(name).alias("first"), *(F.first(c).alias(c) for c in ("size", *fps))), "distinct")
     lead = nodes.select(F.col("node").alias("l_node"), F.col("first.id").alias("l_id"), F.col("first.th").alias("l_th"))
     first = (F.col("node") == F.col("l_node")) & F.col("id").eqNullSafe(F.col("l_id")) & (F.col("th") == F.col("l_th"))
-    # A row that occurs more than once gives its shingles out more than once: distinct pairs are counted.
-    bucket = prints.join(lead, first).select("node", F.explode("shingles").alias("bucket")).distinct()
+    bucket = prints.join(lead, first).select("node", F.explode("shingles").alias("bucket"))
+    # Rows that repeat id and text would give their shingles out again.
+    if prints.groupBy("id", "th").count().filter("count > 1").limit(1).count():
+        bucket = bucket.distinct()
     counts = bucket.groupBy(F.col("bucket").alias("s_bucket")).agg(F.count("*").alias("n")).filter("n > 1")
     met = table(bucket.join(counts, F.col("bucket") == F.col("s_bucket")).select(F.col("node").alias("m_node"), F.lit(0).alias("t"), "bucket", "n"), "met")
     names = ["node", *fps, "size", "t", "bucket"]
