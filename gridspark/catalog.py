@@ -185,7 +185,7 @@ for _name, _t, _c, _sql in (
     ("rounddown", "customer", lambda: x.rounddown(_A()), "trunc(c_acctbal)"), ("int", "customer", lambda: x.int_(_A()), "floor(c_acctbal)"), ("mod", "customer", lambda: x.round_(x.mod(_A(), _B()), 6), "CASE WHEN c_nationkey <> 0 THEN round(c_acctbal - c_nationkey * floor(c_acctbal / c_nationkey), 6) END"),
     ("power", "customer", lambda: x.round_(x.power(_B(), F.lit(1.5)), 6), "round(pow(c_nationkey, 1.5), 6)"), ("sqrt", "customer", lambda: x.round_(x.sqrt(_A()), 6), "CASE WHEN c_acctbal >= 0 THEN round(sqrt(greatest(c_acctbal, 0)), 6) END"), ("sign", "customer", lambda: x.sign(_A()), "sign(c_acctbal)::DOUBLE"),
     ("divide", "customer", lambda: x.round_(x.div(_A(), _B()), 6), "CASE WHEN c_nationkey <> 0 THEN round(c_acctbal / c_nationkey, 6) END"),
-    ("divide_error", "customer", lambda: x.ERRORS["/"](_A(), _B()), "CASE WHEN c_nationkey = 0 THEN '#DIV/0!' END"), ("iferror", "customer", lambda: x.round_(x.iferror(x.div(_A(), _B()), x.ERRORS["/"](_A(), _B()), F.lit(-1.0)), 6), "CASE WHEN c_nationkey <> 0 THEN round(c_acctbal / c_nationkey, 6) ELSE -1 END"),
+    ("divide_error", "customer", lambda: x.ERRORS["/"](_A(), _B()), "CASE WHEN c_nationkey = 0 THEN '#DIV/0!' END"), ("iferror", "customer", lambda: x.round_(x.iferror(x.div(_A(), _B()), F.lit(-1.0), x.ERRORS["/"](_A(), _B())), 6), "CASE WHEN c_nationkey <> 0 THEN round(c_acctbal / c_nationkey, 6) ELSE -1 END"),
     ("if", "customer", lambda: x.if_(_A() > 0, F.lit("credit"), F.lit("debit")), "CASE WHEN c_acctbal > 0 THEN 'credit' ELSE 'debit' END"), ("and", "customer", lambda: x.and_(_A() > 0, _B() > 5), "c_acctbal > 0 AND c_nationkey > 5"), ("or", "customer", lambda: x.or_(_A() > 0, _B() > 5), "c_acctbal > 0 OR c_nationkey > 5"), ("not", "customer", lambda: x.not_(_A() > 0), "NOT c_acctbal > 0"),
     ("left", "customer", lambda: x.left(_N(), 5), "left(c_name, 5)"), ("right", "customer", lambda: x.right(_N(), 4), "right(c_name, 4)"), ("mid", "customer", lambda: x.mid(_N(), 3, 6), "substr(c_name, 3, 6)"), ("len", "customer", lambda: x.len_(_N()), "length(c_name)::DOUBLE"),
     ("concatenate", "customer", lambda: x.concatenate(_N(), F.lit("/"), F.col("c_mktsegment")), "c_name || '/' || c_mktsegment"), ("upper", "customer", lambda: x.upper(_N()), "upper(c_name)"), ("lower", "customer", lambda: x.lower(_N()), "lower(c_name)"),

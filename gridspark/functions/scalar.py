@@ -8,9 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .plain import rate_of_return
 from .values import date_of_serial, serial_of_date
 
 FUNCTIONS: dict[str, Callable[..., Column]] = {}
@@ -43,22 +46,26 @@ def abs_(x):
     return F.abs(_double(x))
 
 
+def _scale(digits) -> Column:
+    return F.lit(10.0**digits) if isinstance(digits, int) else F.pow(F.lit(10.0), digits)
+
+
 @function
 def round_(x, digits=0):
     """Half to even."""
-    return F.bround(_double(x), digits)
+    return F.bround(_double(x), digits if isinstance(digits, int) else digits.cast("int"))
 
 
 @function
 def roundup(x, digits=0):
     """Towards plus infinity."""
-    p = float(10**digits)
+    p = _scale(digits)
     return F.ceil(_double(x) * p).cast("double") / p
 
 
 @function
 def rounddown(x, digits=0):
-    p = float(10**digits)
+    p = _scale(digits)
     y = _double(x) * p
     return F.when(y < 0, F.ceil(y)).otherwise(F.floor(y)).cast("double") / p
 
@@ -100,9 +107,10 @@ def if_(condition, yes, no=False):
 
 
 @function
-def iferror(value, error, other):
-    """`other` where `error` (a column of codes) isn't NULL."""
-    return F.when(error.isNotNull(), _lit(other)).otherwise(value)
+def iferror(value, other, error=None):
+    """`other` where `error` (a column of codes) isn't NULL, or where the value is text that begins with #."""
+    bad = F.coalesce(_lit(value).cast("string").startswith("#"), F.lit(False))
+    return F.when(bad if error is None else bad | error.isNotNull(), _lit(other)).otherwise(value)
 
 
 @function
@@ -222,8 +230,14 @@ DATE_PATTERNS = {"yyyy-mm-dd": "yyyy-MM-dd", "yyyy/mm/dd": "yyyy/MM/dd", "mm/dd/
 
 @function
 def text(x, pattern):
+    """Text of a number by a pattern: see formatted(). A blank is ''."""
+    return F.when(_double(x).isNotNull(), formatted(x, pattern)).otherwise(F.lit(""))
+
+
+def formatted(x, pattern):
     """A number (or the serial of a date) by a pattern: 0, 0.0.., #,##0.., $#,##0.., 0%, 0.0%.., 0.00E+00, dates, General."""
     x = _double(x)
+    pattern = pattern.replace('"', "")
     low = pattern.lower()
     if low in DATE_PATTERNS:
         return F.date_format(date_of_serial(x), DATE_PATTERNS[low])
@@ -233,8 +247,11 @@ def text(x, pattern):
     if "E+" in pattern:
         return F.format_string(f"%.{places}E", x)
     if "#,##0" in pattern:
-        body = F.format_number(F.abs(x) if pattern.startswith(("$", "(")) else x, places)
-        return F.concat(F.when(x < 0, F.lit("-$")).otherwise(F.lit("$")), body) if pattern.startswith("$") else body
+        if "_)" in pattern:  # negative numbers in parentheses, room for one after the others
+            body = F.format_number(F.abs(x), 2 if ".00" in pattern else 0)
+            return F.when(x < 0, F.concat(F.lit("("), body, F.lit(")"))).otherwise(F.concat(body, F.lit(" ")))
+        body = F.format_number(x, places)
+        return F.concat(F.lit("$"), body) if pattern.startswith("$") else body
     if set(pattern) <= set("0."):
         return F.format_string(f"%.{places}f", x)
     return F.when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(x.cast("string"))
@@ -338,26 +355,54 @@ def pmt(rate, nper, pv, fv=0.0, due=0):
 def npv(rate, values: Column):
     """values: an array in order; its first value is at period 1."""
     r = _double(rate)
+    values = F.array_compact(values)
     return F.aggregate(F.transform(values, lambda v, i: v / F.pow(1 + r, i + 1)), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
 
 
 @function
-def irr(values: Column):
-    """The rate at which an array of values, the first at period 0, is worth nothing: by 60 bisections of [-0.999, 10] inside
-    the expression. NULL without a change of sign there (a spreadsheet says #NUM!)."""
-
-    def worth(r):
-        return F.aggregate(F.transform(values, lambda v, i: v / F.pow(1 + r, i)), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
-
-    def half(s, _):
-        middle = (s.low + s.high) / 2
-        same = worth(middle) * s.at > 0
-        return F.struct(F.when(same, middle).otherwise(s.low).alias("low"), F.when(same, s.high).otherwise(middle).alias("high"), s.at.alias("at"))
-
-    low, high = F.lit(-0.999), F.lit(10.0)
-    start = F.struct(low.alias("low"), high.alias("high"), worth(low).alias("at"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, half, lambda s: (s.low + s.high) / 2)
-    return F.when(worth(low) * worth(high) <= 0, found)
+def irr(values: Column, guess: float | None = None):
+    """The rate at which an array of values, the first at period 0, is worth nothing; NULL if there is none (a spreadsheet says
+    #NUM!). Newton's steps go over all rows of a batch at once; rows where they don't end are halved one by one."""
+    start = 0.1 if guess is None else float(guess)
+
+    @F.pandas_udf("double")
+    def solved(flows: pd.Series) -> pd.Series:
+        return pd.Series(rates_of_return([np.asarray([v for v in f if v is not None], float) if f is not None else np.zeros(0) for f in flows], start))
+
+    return solved(values)
+
+
+def rates_of_return(flows: list[np.ndarray], guess: float = 0.1) -> np.ndarray:
+    """IRR of each of some arrays; NaN for none."""
+    out = np.full(len(flows), np.nan)
+    able = np.array([k for k, f in enumerate(flows) if len(f) > 1 and f.min() < 0 < f.max()], np.int64)
+    if not len(able):
+        return out
+    width = max(len(flows[k]) for k in able)
+    table = np.zeros((len(able), width))
+    for i, k in enumerate(able):
+        table[i, : len(flows[k])] = flows[k]
+    rate, open_ = np.full(len(able), guess), np.ones(len(able), bool)
+    with np.errstate(all="ignore"):
+        for _ in range(100):
+            at = np.flatnonzero(open_)
+            if not len(at):
+                break
+            r, value, slope = rate[at], np.zeros(len(at)), np.zeros(len(at))
+            for c in range(width - 1, -1, -1):  # Horner's rule, with the slope
+                slope = slope / (1 + r) - value / (1 + r) ** 2
+                value = value / (1 + r) + table[at, c]
+            step = value / slope
+            done = np.abs(value) < 1e-10
+            rate[at] = np.where(done, r, r - step)
+            open_[at] = ~(done | (np.abs(step) < 1e-10))
+            open_[at] &= np.isfinite(rate[at])
+    good = ~open_ & np.isfinite(rate)
+    out[able[good]] = rate[good]
+    for k in able[~good].tolist():
+        found = rate_of_return(flows[k].tolist(), guess)
+        out[k] = np.nan if found is None or isinstance(found, complex) else found
+    return out
 
 
 @function

@@ -5,6 +5,8 @@ casts trim, and take '1d' and 'NaN'."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,14 +30,20 @@ def txt(c: Column) -> Column:
     return F.lower(F.coalesce(c.cast("string"), F.lit("")))
 
 
-def glob_regex(pattern: str) -> str:
-    """A regular expression for a pattern with * and ?; ~ takes the next one literally."""
+def glob_regex(pattern: str, tilde: bool = True, sets: bool = False) -> str:
+    """A regular expression for a pattern with * and ?; ~ takes the next one literally, [...] is any of its characters if
+    sets is true ([!...]: any other)."""
     out, k = "", 0
     while k < len(pattern):
         ch = pattern[k]
-        if ch == "~" and k + 1 < len(pattern) and pattern[k + 1] in "*?~":
+        close = pattern.find("]", k + 2) if sets and ch == "[" else -1
+        if tilde and ch == "~" and k + 1 < len(pattern) and pattern[k + 1] in "*?~":
             k += 1
             out += "\\" + pattern[k]
+        elif close > 0:
+            inner = re.sub(r"([\\\[&~|^])", r"\\\1", pattern[k + 1 : close])
+            out += "[" + ("^" + inner[1:] if inner.startswith("!") else inner) + "]"
+            k = close
         else:
             out += {"*": ".*", "?": "."}.get(ch) or ("\\" + ch if ch in r"\.[]{}()+-^$|*?" else ch)
         k += 1

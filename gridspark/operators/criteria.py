@@ -8,34 +8,42 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import glob_regex, num, txt
+from ..functions.values import glob_regex, num
 
-_OPS = re.compile(r"^(>=|<=|<>|>|<|=)(.*)$", re.S)
+#: Operators of a criterion; of those that fit, the longest counts.
+OPERATORS = ("<=", ">=", "<>", "<", ">", "=")
+
+
+def split_criterion(text: str) -> tuple[str, str]:
+    """The operator that a criterion begins with ('' for none), and its operand."""
+    op = next((o for o in OPERATORS if text.startswith(o)), "")
+    return op, text[len(op) :].strip() if op else text
 
 
 def matches(c: Column, kind: str, criterion) -> Column:
     """Whether a cell fits a criterion: a number (numeric equality), None (blank), or text with an optional operator. A number
-    after an operator compares numeric cells only, but <> takes all others; text compares in lower case, with * and ?."""
+    after an operator compares numeric cells only, but <> takes all others; other text compares in lower case. A blank fits
+    <> and nothing else. Only text without an operator may have the wildcards * ? and [ ]."""
     if criterion is None:
         return c.isNull()
     n = num(c, kind)
     if isinstance(criterion, (int, float)):
         return F.coalesce(n == float(criterion), F.lit(False))
-    found = _OPS.match(criterion)
-    op, operand = found.groups() if found else ("=", criterion)
+    op, operand = split_criterion(criterion)
     try:
-        value = float(operand)
+        value = float(operand) if op else None
     except ValueError:
         value = None
     if value is not None:
         if op == "<>":
             return F.coalesce(n != value, F.lit(True))
         return F.coalesce({"=": n == value, ">": n > value, "<": n < value, ">=": n >= value, "<=": n <= value}[op], F.lit(False))
-    t, low = txt(c), operand.lower()
-    if op in ("=", "<>"):
-        hit = t.rlike(glob_regex(low)) if re.search(r"[*?~]", low) else t == low
-        return hit if op == "=" else ~hit
-    return {">": t > low, "<": t < low, ">=": t >= low, "<=": t <= low}[op]
+    t, low = F.lower(c.cast("string")), operand.lower()
+    if not op:
+        hit = t.rlike(glob_regex(low, tilde=False, sets=True)) if re.search(r"[*?]", low) else t == low
+    else:
+        hit = {"=": t == low, "<>": t != low, ">": t > low, "<": t < low, ">=": t >= low, "<=": t <= low}[op]
+    return F.coalesce(hit, F.lit(op == "<>"))
 
 
 def _all(df: DataFrame, criteria: dict[str, object]) -> Column:
