@@ -89,3 +89,13 @@ def numeric_aggregates(df: DataFrame, c: str) -> dict[str, Column]:
         "SUM": F.coalesce(F.sum(n), F.lit(0.0)), "COUNT": F.count(n).cast("double"), "COUNTA": F.count(F.col(c)).cast("double"), "AVERAGE": F.avg(n),
         "MIN": F.coalesce(F.min(n), F.lit(0.0)), "MAX": F.coalesce(F.max(n), F.lit(0.0)),
     }
+
+
+def all_of(c: Column) -> Column:
+    """AND over a range: whether all its values are true, blanks passed over."""
+    return F.coalesce(F.bool_and(c), F.lit(True))
+
+
+def any_of(c: Column) -> Column:
+    """OR over a range."""
+    return F.coalesce(F.bool_or(c), F.lit(False))

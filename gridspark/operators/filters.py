@@ -10,8 +10,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ..functions.values import glob_regex, num, txt
+from ..functions.values import glob_regex, is_error, num, txt
+from .ordered import nth
 
 
 @dataclass
@@ -135,25 +137,179 @@ def auto_filter(df: DataFrame, filters: dict[str, object]) -> DataFrame:
 
 
 def _nth(df: DataFrame, n: Column, f: Top) -> DataFrame:
-    """The n-th value of the whole column, by counting distinct values from the top rather than sorting in one task: a
-    value is the threshold if those beyond it are fewer than n and those up to it are n or more."""
-    values = df.select(n.alias("v")).filter("v IS NOT NULL")
-    total = values.count()
-    want = -(-int(f.n * total) // 100) if f.percent and float(f.n * total).is_integer() else int(-(-f.n * total // 100)) if f.percent else int(f.n)
-    if want <= 0:
-        return df.sparkSession.createDataFrame([(None,)], "nth double")
-    order = F.col("v").asc() if f.bottom else F.col("v").desc()
-    # A top-k: each task keeps its own first `want` rows.
-    best = values.orderBy(order).limit(want)
-    return best.agg((F.max("v") if f.bottom else F.min("v")).alias("nth"))
-
-
-def sort_rows(df: DataFrame, keys: list[tuple[str, bool]], case_sensitive: bool = False, position: str | None = None) -> DataFrame:
-    """Rows by several (column, descending) keys: numbers before text, blanks last if ascending and first if descending.
-    position: a column that keeps ties in their old order."""
+    """The n-th value of the whole column: a top-k where n is small, else by counts of buckets."""
+    if f.percent:
+        total = df.select(n.alias("v")).filter("v IS NOT NULL").count()
+        want = -(-f.n * total // 100)
+    else:
+        want = f.n
+    return nth(df, n, int(want), descending=not f.bottom)
+
+
+def hidden(df: DataFrame, filters: dict[str, object], position: str, header: bool = True) -> DataFrame:
+    """df with `hidden`, for a range whose first row by position is a header (never hidden, and no value) unless header is
+    false."""
+    first = df.agg(F.min(position)).first()[0] if header else None
+    body = df.filter(F.col(position) != first) if first is not None else df
+    seen = auto_filter(body, filters).select(F.col(position).alias("_kept")).distinct()
+    joined = df.join(seen, F.col(position) == F.col("_kept"), "left")
+    shown = F.col("_kept").isNotNull() if first is None else F.col("_kept").isNotNull() | (F.col(position) == first)
+    return joined.withColumn("hidden", ~shown).drop("_kept")
+
+
+def above_group_mean(df: DataFrame, column: str, group: str, below: bool = False) -> DataFrame:
+    """Rows whose number is above (below) the mean of their group: means are one aggregate, joined back."""
+    n = num(F.col(column), dict(df.dtypes)[column])
+    means = df.groupBy(F.col(group).alias("_g")).agg(F.avg(n).alias("_mean"))
+    joined = df.join(means, F.col(group).eqNullSafe(F.col("_g")))
+    return joined.filter(n < F.col("_mean") if below else n > F.col("_mean")).select(*df.columns)
+
+
+def project(df: DataFrame, columns: list[str] | None = None, position: str | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Some columns and rows of a sheet: what isn't wanted isn't read."""
+    if position and first is not None:
+        df = df.filter(F.col(position) >= first)
+    if position and last is not None:
+        df = df.filter(F.col(position) <= last)
+    return df.select(*columns) if columns else df
+
+
+@dataclass
+class Slicer:
+    """Items of a field that are shown, in ascending, descending or data order; an item not listed is hidden."""
+
+    column: str
+    items: list
+    order: str = "ascending"
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        return df.filter(F.col(self.column).isin(self.items)) if self.items else df.limit(0)
+
+    def listed(self, df: DataFrame, position: str | None = None) -> DataFrame:
+        """The field's items: item, shown, and place (from 1) in the slicer's order."""
+        seen = df.filter(F.col(self.column).isNotNull()).groupBy(F.col(self.column).alias("item")).agg(F.min(position or self.column).alias("_at"))
+        by = {"ascending": F.asc("item"), "descending": F.desc("item"), "none": F.asc("_at")}[self.order]
+        return seen.select("item", F.col("item").isin(self.items).alias("shown"), F.row_number().over(W.orderBy(by)).alias("place"))
+
+
+# Rules of formats and validations, as columns that say whether a cell meets them.
+
+_BETWEEN = {"between": lambda c, a, b: c.between(a, b), "notBetween": lambda c, a, b: ~c.between(a, b)}
+_COMPARE = {
+    "equal": lambda c, a: c == a, "notEqual": lambda c, a: c != a, "greaterThan": lambda c, a: c > a, "lessThan": lambda c, a: c < a, "greaterThanOrEqual": lambda c, a: c >= a, "lessThanOrEqual": lambda c, a: c <= a,
+}
+
+
+def compared(c: Column, operator: str, first, second=None) -> Column:
+    """A comparison by the name that rules use."""
+    low = F.lit(first) if not isinstance(first, Column) else first
+    return _BETWEEN[operator](c, low, F.lit(second) if not isinstance(second, Column) else second) if operator in _BETWEEN else _COMPARE[operator](c, low)
+
+
+def flagged(df: DataFrame, column: str, rule: str, out: str, operator: str = "equal", first=None, second=None, rank: float = 10, percent: bool = False, bottom: bool = False, reference: date | None = None) -> DataFrame:
+    """df with a flag: whether a cell meets a conditional format's rule. cellIs, expression (first: a Column), top10,
+    aboveAverage (bottom: below), duplicateValues, uniqueValues, containsText, notContainsText, beginsWith, endsWith,
+    containsBlanks, notContainsBlanks, containsErrors, notContainsErrors, timePeriod (first: the period of Dynamic). A
+    colorScale, dataBar or iconSet gives each number's place between the least and the greatest, 0 to 1."""
+    kind, c = dict(df.dtypes)[column], F.col(column)
+    n, t = num(c, kind), F.lower(c.cast("string"))
+    blank = c.isNull() | (F.trim(c.cast("string")) == "")
+    text = F.lit(str(first).lower())
+    simple = {
+        "cellIs": lambda: compared(c, operator, first, second), "expression": lambda: first, "containsText": lambda: F.contains(t, text), "notContainsText": lambda: ~F.contains(t, text), "beginsWith": lambda: F.startswith(t, text), "endsWith": lambda: F.endswith(t, text),
+        "containsBlanks": lambda: blank, "notContainsBlanks": lambda: ~blank, "containsErrors": lambda: is_error(c.cast("string")), "notContainsErrors": lambda: ~is_error(c.cast("string")), "timePeriod": lambda: _period(c.cast("date"), first, reference or date.today()),
+    }
+    if rule in simple:
+        return df.withColumn(out, F.coalesce(simple[rule](), F.lit(rule in ("notContainsText",))))
+    if rule in ("top10", "aboveAverage"):
+        f = Top(rank, percent, bottom) if rule == "top10" else Dynamic("belowAverage" if bottom else "aboveAverage")
+        if rule == "top10":
+            one = _nth(df, n, f).withColumnRenamed("nth", "_one")
+            hit = n <= F.col("_one") if bottom else n >= F.col("_one")
+        else:
+            one = df.agg(F.avg(n).alias("_one"))
+            hit = n < F.col("_one") if bottom else n > F.col("_one")
+        return df.join(F.broadcast(one)).withColumn(out, F.coalesce(hit, F.lit(False))).drop("_one")
+    if rule in ("duplicateValues", "uniqueValues"):
+        # Values that occur again, found by one aggregate; a blank is neither.
+        again = df.filter(c.isNotNull()).groupBy(t.alias("_v")).agg(F.count("*").alias("_n")).filter("_n > 1")
+        hit = F.col("_v").isNotNull() if rule == "duplicateValues" else F.col("_v").isNull() & c.isNotNull()
+        return df.join(again, t == F.col("_v"), "left").withColumn(out, hit).drop("_v", "_n")
+    if rule in ("colorScale", "dataBar", "iconSet"):
+        ends = df.agg(F.min(n).alias("_low"), F.max(n).alias("_high"))
+        return df.join(F.broadcast(ends)).withColumn(out, F.when(F.col("_high") > F.col("_low"), (n - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(F.when(n.isNotNull(), F.lit(0.0)))).drop("_low", "_high")
+    raise ValueError(f"no such rule: {rule}")
+
+
+def valid(c: Column, kind: str, rule: str, operator: str = "between", first=None, second=None, allow_blank: bool = True) -> Column:
+    """Whether a cell meets a validation: list (first: the values), whole, decimal, date, time, textLength or custom (first: a
+    Column). kind: the column's Spark type."""
+    n = num(c, kind) if kind not in ("date", "timestamp", "timestamp_ntz") else None
+    if rule == "list":
+        hit = F.lower(c.cast("string")).isin([str(v).lower() for v in first])
+    elif rule == "custom":
+        hit = first
+    elif rule == "textLength":
+        hit = compared(F.length(c.cast("string")), operator, first, second)
+    elif rule in ("whole", "decimal"):
+        hit = compared(n, operator, first, second) & ((n == F.floor(n)) if rule == "whole" else F.lit(True))
+    elif rule in ("date", "time"):
+        hit = compared(c.cast("date") if rule == "date" else F.date_format(c, "HH:mm:ss"), operator, first, second)
+    else:
+        raise ValueError(f"no such validation: {rule}")
+    return F.when(c.isNull(), F.lit(allow_blank)).otherwise(F.coalesce(hit, F.lit(False)))
+
+
+@dataclass
+class SortState:
+    """What a sheet is sorted by: conditions in order, each a column, descending or not, and maybe a list of texts that come
+    first in that order. Colours and icons have no values to sort by and keep rows as they are. Columns may be sorted
+    instead of rows."""
+
+    ref: str = ""
+    conditions: list[tuple[str, bool, list | None]] = field(default_factory=list)
+    case_sensitive: bool = False
+    column_sort: bool = False
+
+    def add(self, column: str, descending: bool = False, sort_by: str = "value", custom: list | None = None, ref: str = "") -> SortState:
+        self.ref = self.ref or ref or column
+        if sort_by == "value":
+            self.conditions.append((column, descending, custom))
+        return self
+
+    def apply(self, df: DataFrame, position: str) -> DataFrame:
+        """df in order; sorted by columns, the columns other than the position go by the first condition's row."""
+        if self.column_sort:
+            at, descending, _ = self.conditions[0]
+            row = df.filter(F.col(position).cast("string") == at).drop(position).first()
+            names = sorted(row.asDict(), key=lambda c: (row[c] is None, row[c] if not isinstance(row[c], str) else row[c].lower()), reverse=descending) if row else []
+            return df.select(position, *names)
+        return sort_rows(df, [(c, d) for c, d, _ in self.conditions], self.case_sensitive, position, {c: x for c, _, x in self.conditions if x})
+
+
+def sort_keys(df: DataFrame, keys: list[tuple[str, bool]], case_sensitive: bool = False, position: str | None = None, custom: dict[str, list] | None = None) -> list[Column]:
+    """What rows are ordered by: see sort_rows()."""
     order = []
     for name, desc in keys:
         c, kind = F.col(name), dict(df.dtypes)[name]
+        if custom and name in custom:
+            place = F.array_position(F.array(*(F.lit(str(v).lower()) for v in custom[name])), F.lower(c.cast("string")))
+            listed = F.when(place > 0, place)
+            order.append(listed.desc_nulls_first() if desc else listed.asc_nulls_last())
         parts = [num(c, "string"), c if case_sensitive else F.lower(c)] if kind == "string" else [c]
+        # A number that is text too is sorted as a number; all numbers come before texts, texts before blanks.
         order += [p.desc_nulls_first() if desc else p.asc_nulls_last() for p in parts]
-    return df.orderBy(*order, *([F.col(position)] if position else []))
+    return [*order, *([F.col(position)] if position else [])]
+
+
+def sort_rows(df: DataFrame, keys: list[tuple[str, bool]], case_sensitive: bool = False, position: str | None = None, custom: dict[str, list] | None = None) -> DataFrame:
+    """Rows by several (column, descending) keys: numbers before text, blanks last if ascending and first if descending.
+    position: a column that keeps ties in their old order. custom: texts of a column that come first, in their order."""
+    return df.orderBy(*sort_keys(df, keys, case_sensitive, position, custom))
+
+
+def first_rows(df: DataFrame, n: int, keys: list[tuple[str, bool]], position: str | None = None) -> DataFrame:
+    """The first n rows in order (0: all), with their place from 1: each task keeps its own first n."""
+    order = sort_keys(df, keys, position=position)
+    some = df.orderBy(*order).limit(n) if n else df
+    return some.withColumn("place", F.row_number().over(W.orderBy(*order)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.values import num
 
@@ -12,15 +13,18 @@ CAP = 10_000
 _KINDS = {"string": "string", "boolean": "bool", "date": "date", "timestamp": "datetime", "timestamp_ntz": "datetime", "double": "float", "float": "float"}
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """A row for each column: type, null_count, unique_count (capped), cardinality. One aggregate over all columns: values
-    are laid out as (column, value) and distinct ones counted after a partial aggregate, so no column meets in one task."""
+def profile(df: DataFrame, order: str | None = None) -> DataFrame:
+    """A row for each column: type, null_count, unique_count (capped), unique_capped, cardinality, and samples: the first three
+    different values in order of a column, if one is given. Different values of each task are counted before the shuffle;
+    no column meets in one task."""
     kinds = dict(df.dtypes)
-    cells = [F.struct(F.lit(c).alias("name"), F.lit(_KINDS.get(kinds[c], "int" if "int" in kinds[c] else "string")).alias("declared"), F.col(c).cast("string").alias("v")) for c in df.columns]
-    long = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    counted = long.groupBy("name", "declared", "v").agg(F.count("*").alias("n"))
+    place = F.col(order) if order else F.lit(0)
+    cells = [F.struct(F.lit(c).alias("name"), F.lit(_KINDS.get(kinds[c], "int" if "int" in kinds[c] else "string")).alias("declared"), F.col(f"`{c}`").cast("string").alias("v")) for c in df.columns if c != order]
+    long = df.select(place.alias("at"), F.explode(F.array(*cells)).alias("c")).select("at", "c.*")
+    counted = long.groupBy("name", "declared", "v").agg(F.count("*").alias("n"), F.min("at").alias("at"))
     n = num(F.trim(F.col("v")))
     whole = F.trim(F.col("v")).rlike(r"^[+-]?[0-9]{1,18}$")
+    shown = F.struct("at", "v")
     per = counted.groupBy("name", "declared").agg(
         F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("filled"),
         F.count("v").alias("distinct"), F.count(F.when(F.col("v").isNotNull() & n.isNull(), 1)).alias("texts"), F.count(n).alias("numbers"), F.count(F.when(n.isNotNull() & ~whole, 1)).alias("floats"),
@@ -29,7 +33,31 @@ def profile(df: DataFrame) -> DataFrame:
     kind = kind.when(F.col("texts") > 0, F.lit("string")).when(F.col("floats") > 0, F.lit("float")).otherwise(F.lit("int"))
     d, filled = F.col("distinct"), F.col("filled")
     cardinality = F.when(filled == 0, F.lit("empty")).when(d > CAP, F.lit("high")).when(d == filled, F.lit("unique")).when((d <= 20) & (2 * d <= filled), F.lit("categorical")).otherwise(F.lit("high"))
-    return per.select("name", kind.alias("type"), "null_count", F.least(d, F.lit(CAP)).alias("unique_count"), (d > CAP).alias("unique_capped"), cardinality.alias("cardinality"))
+    out = per.select("name", kind.alias("type"), "null_count", F.least(d, F.lit(CAP)).alias("unique_count"), (d > CAP).alias("unique_capped"), cardinality.alias("cardinality"))
+    if not order:
+        return out
+    return out.join(samples(counted.filter("v IS NOT NULL").select("name", shown.alias("s"))), "name", "left")
+
+
+#: Parts in which a column's first values are looked for.
+_PARTS = 64
+
+
+def samples(found: DataFrame, k: int = 3) -> DataFrame:
+    """name, samples: the k values with the least places of each name; parts of a name are ranked before they meet."""
+    part = W.partitionBy("name", F.pmod(F.xxhash64("s.v"), F.lit(_PARTS))).orderBy("s.at", "s.v")
+    few = found.withColumn("r", F.row_number().over(part)).filter(F.col("r") <= k)
+    ranked = few.withColumn("r", F.row_number().over(W.partitionBy("name").orderBy("s.at", "s.v"))).filter(F.col("r") <= k)
+    return ranked.groupBy("name").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "s.v"))), lambda x: x.v).alias("samples"))
+
+
+def class_of(rows: int, cols: int, filled: int) -> str:
+    """empty, readme, summary or data, from a sheet's size and filled cells."""
+    if not filled:
+        return "empty"
+    if cols == 1:
+        return "readme"
+    return "summary" if rows <= 20 and cols <= 10 and filled / (rows * cols) < 0.4 else "data"
 
 
 def classify(df: DataFrame) -> DataFrame:
@@ -37,17 +65,36 @@ def classify(df: DataFrame) -> DataFrame:
     cols = len(df.columns)
     filled = sum((F.col(c).isNotNull().cast("bigint") for c in df.columns), F.lit(0))
     d = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(filled), F.lit(0)).alias("filled")).withColumn("cols", F.lit(cols).cast("bigint"))
-    d = d.withColumn("density", F.when(F.col("rows") > 0, F.col("filled") / (F.col("rows") * cols)).otherwise(F.lit(0.0)))
+    return sheet_class(d)
+
+
+def classify_sheets(cells: DataFrame, keys: tuple[str, ...] = ("file", "sheet")) -> DataFrame:
+    """classify() of every sheet in long form."""
+    d = cells.groupBy(*keys).agg(F.max("row").cast("bigint").alias("rows"), F.max("col").cast("bigint").alias("cols"), F.count("value").alias("filled"))
+    return sheet_class(d, keys)
+
+
+def sheet_class(d: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    d = d.withColumn("density", F.when((F.col("rows") > 0) & (F.col("cols") > 0), F.col("filled") / (F.col("rows") * F.col("cols"))).otherwise(F.lit(0.0)))
     kind = F.when(F.col("filled") == 0, F.lit("empty")).when(F.col("cols") == 1, F.lit("readme")).when((F.col("rows") <= 20) & (F.col("cols") <= 10) & (F.col("density") < 0.4), F.lit("summary")).otherwise(F.lit("data"))
-    return d.select("rows", "cols", "density", kind.alias("class"))
+    return d.select(*keys, "rows", "cols", "density", kind.alias("class"))
 
 
-def stratified(df: DataFrame, position: str, k: int, head: int = 3, tail: int = 2) -> DataFrame:
-    """`k` rows at even steps of the middle (what head and tail leave), by a 1-based position column."""
-    total = df.count()
+def picks(total: int, k: int, head: int = 3, tail: int = 2) -> list[int]:
+    """Places (from 1) of k rows at even steps of what head and tail leave."""
     middle = total - head - tail
     if middle <= 0 or k <= 0:
-        return df.limit(0)
+        return []
     k = min(k, middle)
-    picks = sorted({head + 1 + (round(i * (middle - 1) / (k - 1)) if k > 1 else 0) for i in range(k)})
-    return df.filter(F.col(position).isin(picks))
+    return sorted({head + 1 + (round(i * (middle - 1) / (k - 1)) if k > 1 else 0) for i in range(k)})
+
+
+def head_and_tail(df: DataFrame, position: str, head: int = 3, tail: int = 2) -> DataFrame:
+    """The first and the last rows by a position column, each once."""
+    ends = df.orderBy(position).limit(head).unionByName(df.orderBy(F.desc(position)).limit(tail))
+    return ends.dropDuplicates([position])
+
+
+def stratified(df: DataFrame, position: str, k: int, head: int = 3, tail: int = 2) -> DataFrame:
+    """`k` rows at even steps of the middle (what head and tail leave), by a 1-based position column."""
+    return df.filter(F.col(position).isin(picks(df.count(), k, head, tail)))
