@@ -29,6 +29,8 @@ from .words import words
 DISCOUNTED = 5
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text for which the count tables get one part.
+PART_BYTES = 12 << 20
 _MESSAGES = "block bigint, part int, payload binary, n array<bigint>"
 
 
@@ -70,6 +72,16 @@ def _by_part(part: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, list[tup
     return at, [(int(sorted_[a]), int(a), int(b)) for a, b in zip(starts, ends, strict=True)]
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different pair (a, b) first stands, sorted, and which of them each pair is. Numbers may be of any size."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order[new], inverse
+
+
 def _rows(rows: list[tuple]) -> pa.Table:
     columns = list(zip(*rows, strict=True)) if rows else [()] * 4
     types = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
@@ -196,7 +208,7 @@ def _count_pairs(n_tokens: int, n_words: int):
         h = np.concatenate([np.repeat(np.cumsum(a[0]), a[1]) for a in asked])
         hot = np.unique(np.concatenate([np.cumsum(a[0])[a[2] > 0] for a in asked]))
         w, c, cw = (np.concatenate([a[k] for a in asked]) for k in (3, 4, 5))
-        distinct, at, inverse = np.unique(h << 31 | w, return_index=True, return_inverse=True)
+        at, inverse = _distinct(h, w)
         total = np.bincount(inverse, weights=c).astype(np.int64)
         heads, of = np.unique(h[at], return_inverse=True)
         seen = total > 0
@@ -275,9 +287,11 @@ def score_documents(docs: DataFrame, held_out=None, id_col: str = "doc_id", text
     Rows may repeat, and each counts; a null id belongs to the training rows; an empty table gives an empty result; without
     training rows every word has the same probability. Other columns are not read."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = F.coalesce(slot(F.col(id_col), 7) == 2 if held_out is None else held_out, F.lit(False))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held.alias("held"))
+    # Count tables have a part for so many bytes of text, so that a part's share is the same at every size.
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     blocks = table(map_batches(rows, _blocks(parts), _MESSAGES), "blocks")
     texts, asked = blocks.filter("part < 0"), blocks.filter("part >= 0")
     n_docs = texts.agg(F.sum(F.col("n")[1])).first()[0] or 0
