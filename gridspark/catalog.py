@@ -54,7 +54,7 @@ for _name, _agg, _sql in (
     ("agg_minifs", lambda d: criteria.minifs(d, "l_extendedprice", _BY), f"coalesce(min(l_extendedprice) {_WHERE}, 0)"),
     ("agg_maxifs", lambda d: criteria.maxifs(d, "l_extendedprice", _BY), f"coalesce(max(l_extendedprice) {_WHERE}, 0)"),
     ("agg_countifs", lambda d: criteria.countifs(d, _BY).cast("double"), f"count(*) {_WHERE}::DOUBLE"),
-    ("agg_sumif_glob", lambda d: criteria.sumifs(d, "l_quantity", {"l_linestatus": "<>o*"}), "coalesce(sum(l_quantity) FILTER (WHERE lower(l_linestatus) NOT LIKE 'o%'), 0)"),
+    ("agg_sumif_glob", lambda d: criteria.sumifs(d, "l_quantity", {"l_linestatus": "o*"}), "coalesce(sum(l_quantity) FILTER (WHERE lower(l_linestatus) LIKE 'o%'), 0)"),
 ):
     add(_name, "lineitem", lambda d, a=_agg: d.groupBy("l_linenumber").agg(_r(a(d), 2).alias("value")), f"SELECT l_linenumber, round({_sql}, 2) AS value FROM lineitem GROUP BY l_linenumber")
 for _name, _sql in {"SUM": "sum(l_quantity)", "COUNT": "count(l_quantity)::DOUBLE", "COUNTA": "count(l_quantity)::DOUBLE", "AVERAGE": "avg(l_quantity)", "MIN": "min(l_quantity)", "MAX": "max(l_quantity)"}.items():
@@ -175,10 +175,7 @@ for _name, (_f, _sql) in _FILTERS.items():
 
 _BLANKS = lambda d: d.withColumn("l_returnflag", F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")))
 add("filter_blank", "lineitem", lambda d: auto_filter(_BLANKS(d), {"l_returnflag": Blank()}).select(*KEY), "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'")
-add(
-    "filter_hidden", "lineitem", lambda d: filters.hidden(d.filter("l_linenumber = 1").select("l_orderkey", "l_quantity"), {"l_quantity": Custom([(">", 25)])}, "l_orderkey").select("l_orderkey", "hidden"),
-    "SELECT l_orderkey, l_quantity <= 25 AND l_orderkey > (SELECT min(l_orderkey) FROM lineitem WHERE l_linenumber = 1) AS hidden FROM lineitem WHERE l_linenumber = 1",
-)
+add("filter_hidden", "orders", lambda d: filters.hidden(d.select("o_orderkey", "o_totalprice"), {"o_totalprice": Custom([(">", 250000)])}, "o_orderkey").select("o_orderkey", "hidden"), "SELECT o_orderkey, o_totalprice <= 250000 AND o_orderkey > (SELECT min(o_orderkey) FROM orders) AS hidden FROM orders")
 add("filter_project", "lineitem", lambda d: filters.project(d, KEY, "l_orderkey", 100, 200), "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey BETWEEN 100 AND 200")
 add("filter_slicer", "lineitem", lambda d: filters.Slicer("l_returnflag", ["A", "N"]).apply(d).select(*KEY), "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag IN ('A', 'N')")
 add("slicer_order", "lineitem", lambda d: filters.Slicer("l_returnflag", ["A", "N"], "descending").listed(d).withColumn("place", F.col("place").cast("bigint")), "SELECT l_returnflag AS item, l_returnflag IN ('A', 'N') AS shown, row_number() OVER (ORDER BY l_returnflag DESC) AS place FROM (SELECT DISTINCT l_returnflag FROM lineitem)")
@@ -287,10 +284,10 @@ add(
 add("fn_db", "customer", lambda d: d.select("c_custkey", _r(x.db(F.lit(10000.0), F.lit(1000.0), F.lit(6.0), (_B() % 6) + 1), 2).alias("value")), "")
 # The rate from flows by halving 60 times, in a recursive query.
 ORACLE_SQL["fn_irr"] = """WITH RECURSIVE f AS (SELECT o_custkey, list_prepend(-200000.0::DOUBLE, list(o_totalprice ORDER BY o_orderkey)) AS v FROM orders GROUP BY 1),
-  able AS (SELECT * FROM f WHERE list_sum(list_transform(v, (x, i) -> x / pow(0.001, i - 1))) * list_sum(list_transform(v, (x, i) -> x / pow(11.0, i - 1))) <= 0),
+  able AS (SELECT * FROM f WHERE list_sum(list_transform(v, lambda x, i: x / pow(0.001, i - 1))) * list_sum(list_transform(v, lambda x, i: x / pow(11.0, i - 1))) <= 0),
   h AS (SELECT o_custkey, v, -0.999::DOUBLE AS low, 10.0::DOUBLE AS high, 0 AS k FROM able
         UNION ALL SELECT o_custkey, v, CASE WHEN worth > 0 THEN (low + high) / 2 ELSE low END, CASE WHEN worth > 0 THEN high ELSE (low + high) / 2 END, k + 1
-        FROM (SELECT *, list_sum(list_transform(v, (x, i) -> x / pow(1 + (low + high) / 2, i - 1))) AS worth FROM h) WHERE k < 60)
+        FROM (SELECT *, list_sum(list_transform(v, lambda x, i: x / pow(1 + (low + high) / 2, i - 1))) AS worth FROM h) WHERE k < 60)
   SELECT o_custkey, round((low + high) / 2, 6) AS rate FROM f LEFT JOIN (SELECT * FROM h WHERE k = 60) USING (o_custkey)"""
 ORACLE_SQL["fn_db"] = "SELECT c_custkey, round(10000 * pow(1 - round(1 - pow(0.1, 1 / 6.0), 3), c_nationkey % 6) * round(1 - pow(0.1, 1 / 6.0), 3), 2) AS value FROM customer"
 
@@ -298,7 +295,7 @@ ORACLE_SQL["fn_db"] = "SELECT c_custkey, round(10000 * pow(1 - round(1 - pow(0.1
 _PROFILED = {"p_partkey": "int", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int", "p_retailprice": "float"}
 add(
     "profile_schema", "part", lambda d: profile.profile(d.select(*_PROFILED), order="p_partkey").withColumn("samples", F.array_join("samples", "|")),
-    "WITH c AS (" + " UNION ALL ".join(f"SELECT p_partkey AS k, '{c}' AS name, '{t}' AS type, {c}::VARCHAR AS v FROM part" for c, t in _PROFILED.items() if c != "p_partkey") + "), a AS (SELECT name, type, count(*) - count(v) AS null_count, count(v) AS filled, count(DISTINCT v) AS d FROM c GROUP BY ALL), s AS (SELECT name, string_agg(v, '|' ORDER BY at, v) AS samples FROM (SELECT name, v, min(k) AS at, row_number() OVER (PARTITION BY name ORDER BY min(k), v) AS r FROM c GROUP BY name, v) WHERE r <= 3 GROUP BY name) SELECT name, type, null_count, least(d, 10000) AS unique_count, d > 10000 AS unique_capped, CASE WHEN d > 10000 THEN 'high' WHEN d = filled THEN 'unique' WHEN d <= 20 AND 2 * d <= filled THEN 'categorical' ELSE 'high' END AS cardinality, samples FROM a JOIN s USING (name)",
+    "WITH c AS (" + " UNION ALL ".join(f"SELECT p_partkey AS k, '{c}' AS name, '{t}' AS type, {c}::VARCHAR AS v FROM part" for c, t in _PROFILED.items() if c != "p_partkey") + "), a AS (SELECT name, type, count(*) - count(v) AS null_count, count(v) AS filled, count(DISTINCT v) AS d FROM c GROUP BY ALL), s AS (SELECT name, string_agg(v, '|' ORDER BY first, v) AS samples FROM (SELECT name, v, min(k) AS first, row_number() OVER (PARTITION BY name ORDER BY min(k), v) AS r FROM c GROUP BY name, v) WHERE r <= 3 GROUP BY name) SELECT name, type, null_count, least(d, 10000) AS unique_count, d > 10000 AS unique_capped, CASE WHEN d > 10000 THEN 'high' WHEN d = filled THEN 'unique' WHEN d <= 20 AND 2 * d <= filled THEN 'categorical' ELSE 'high' END AS cardinality, samples FROM a JOIN s USING (name)",
 )
 add(
     "profile_classify", "lineitem", lambda d: profile.classify_sheets(d.filter("l_orderkey % 50 < 20").select(F.col("l_orderkey").cast("string").alias("file"), F.lit("s").alias("sheet"), (F.col("l_linenumber") * 3).alias("row"), F.when(F.col("l_orderkey") % 2 == 0, 1).otherwise((F.col("l_partkey") % 4 + 1).cast("int")).alias("col"), F.col("l_shipdate").cast("string").alias("value"))),
@@ -326,7 +323,7 @@ add_many(
 )
 
 
-add("formula_chain_total", "orders", lambda d: formula.fill_down(d.select("o_orderkey", "o_totalprice"), "value", "=SUM(B$2:B2)", "o_orderkey").select("o_orderkey", _r(F.col("value"), 0).alias("value")), "SELECT o_orderkey, round(sum(o_totalprice) OVER (ORDER BY o_orderkey), 0) AS value FROM orders")
+add("formula_chain_total", "orders", lambda d: formula.fill_down(d.select("o_orderkey", F.floor("o_totalprice").alias("whole")), "value", "=SUM(B$2:B2)", "o_orderkey").select("o_orderkey", "value"), "SELECT o_orderkey, sum(floor(o_totalprice)) OVER (ORDER BY o_orderkey) AS value FROM orders")
 add("formula_lag", "orders", lambda d: formula.fill_down(d.select("o_orderkey", "o_totalprice"), "value", "=B3-B2", "o_orderkey", row=3).select("o_orderkey", _r(F.col("value"), 2).alias("value")), "SELECT o_orderkey, round(o_totalprice - lag(o_totalprice) OVER (ORDER BY o_orderkey), 2) AS value FROM orders")
 add("formula_sumif", "orders", lambda d: formula.fill_down(d.select("o_orderkey", "o_orderpriority", "o_totalprice"), "value", "=C2/SUMIF(B:B,B2,C:C)", "o_orderkey").select("o_orderkey", _r(F.col("value"), 8).alias("value")), "SELECT o_orderkey, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_orderpriority), 8) AS value FROM orders")
 add_many(
@@ -339,9 +336,9 @@ add("formula_compare_text", "part", lambda d: formula.fill_down(d.select("p_part
 def _books(d: DataFrame) -> DataFrame:
     """A workbook for each customer: amounts in A, a chain of running totals in B, the last one's double on another sheet."""
     at = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
-    rows = d.select(F.col("o_custkey").cast("string").alias("file"), at.alias("row"), "o_totalprice")
+    rows = d.select(F.col("o_custkey").cast("string").alias("file"), at.alias("row"), F.floor("o_totalprice").alias("whole"))
     none, long = F.lit(None).cast("string"), ("file", "sheet", "row", "col", "kind", "value", "formula")
-    amounts = rows.select("file", F.lit("Data").alias("sheet"), "row", F.lit(1).alias("col"), F.lit("number").alias("kind"), F.col("o_totalprice").cast("string").alias("value"), none.alias("formula"))
+    amounts = rows.select("file", F.lit("Data").alias("sheet"), "row", F.lit(1).alias("col"), F.lit("number").alias("kind"), F.col("whole").cast("string").alias("value"), none.alias("formula"))
     chain = F.when(F.col("row") == 1, F.lit("=A1")).otherwise(F.concat(F.lit("=B"), (F.col("row") - 1).cast("string"), F.lit("+A"), F.col("row").cast("string")))
     totals = rows.select("file", F.lit("Data").alias("sheet"), "row", F.lit(2).alias("col"), F.lit("blank").alias("kind"), none.alias("value"), chain.alias("formula"))
     last = rows.groupBy("file").agg(F.max("row").alias("n")).select("file", F.lit("Top").alias("sheet"), F.lit(1).alias("row"), F.lit(1).alias("col"), F.lit("blank").alias("kind"), none.alias("value"), F.concat(F.lit("=ROUND(Data!B"), F.col("n").cast("string"), F.lit("*2+SUM(Data!A:A),2)")).alias("formula"))
@@ -350,12 +347,12 @@ def _books(d: DataFrame) -> DataFrame:
 
 add(
     "formula_graph", "orders", lambda d: cell_graph.calculate(_books(d)).select("file", "sheet", "row", "col", "level", _r(F.col("value").cast("double"), 1).alias("value")),
-    "WITH t AS (SELECT o_custkey, row_number() OVER w AS k, sum(o_totalprice) OVER w AS v FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) SELECT o_custkey::VARCHAR AS file, 'Data' AS sheet, k::INT AS \"row\", 2 AS col, (k - 1)::INT AS level, round(v, 1) AS value FROM t UNION ALL SELECT o_custkey::VARCHAR, 'Top', 1, 1, max(k)::INT, round(round(max(v) * 3, 2), 1) FROM t GROUP BY 1",
+    "WITH t AS (SELECT o_custkey, row_number() OVER w AS k, sum(floor(o_totalprice)) OVER w AS v FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) SELECT o_custkey::VARCHAR AS file, 'Data' AS sheet, k::INT AS \"row\", 2 AS col, (k - 1)::INT AS level, round(v, 1) AS value FROM t UNION ALL SELECT o_custkey::VARCHAR, 'Top', 1, 1, max(k)::INT, round(round(max(v) * 3, 2), 1) FROM t GROUP BY 1",
 )
 _PERTURBED = lambda d: d.filter("o_custkey % 10 = 1").select(F.col("o_custkey").cast("string").alias("file")).distinct().select("file", F.lit("Data").alias("sheet"), F.lit(2).alias("row"), F.lit(1).alias("col"), F.lit(1000.0).alias("value"))
 add(
     "recalc_affected", "orders", lambda d: cell_graph.recalculate(_books(d), _PERTURBED(d), tolerance=0.01).select("file", "sheet", "row", "col", _r(F.col("old"), 1).alias("old"), _r(F.col("new"), 1).alias("new"), "total_formula_cells"),
-    "WITH t AS (SELECT o_custkey, row_number() OVER w AS k, o_totalprice AS p, sum(o_totalprice) OVER w AS v, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)), c AS (SELECT o_custkey, 1000 - coalesce(max(p) FILTER (WHERE k = 2), 0) AS d FROM t WHERE o_custkey % 10 = 1 GROUP BY 1) SELECT o_custkey::VARCHAR AS file, 'Data' AS sheet, k::INT AS \"row\", 2 AS col, round(v, 1) AS old, round(v + d, 1) AS new, n + 1 AS total_formula_cells FROM t JOIN c USING (o_custkey) WHERE k >= 2 UNION ALL SELECT o_custkey::VARCHAR, 'Top', 1, 1, round(round(max(v) * 3, 2), 1), round(round(CASE WHEN max(n) > 1 THEN max(v) * 3 + any_value(d) * 3 ELSE max(v) * 3 + 1000 END, 2), 1), max(n) + 1 FROM t JOIN c USING (o_custkey) GROUP BY 1",
+    "WITH t AS (SELECT o_custkey, row_number() OVER w AS k, floor(o_totalprice) AS p, sum(floor(o_totalprice)) OVER w AS v, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)), c AS (SELECT o_custkey, 1000 - coalesce(max(p) FILTER (WHERE k = 2), 0) AS d FROM t WHERE o_custkey % 10 = 1 GROUP BY 1) SELECT o_custkey::VARCHAR AS file, 'Data' AS sheet, k::INT AS \"row\", 2 AS col, round(v, 1) AS old, round(v + d, 1) AS new, n + 1 AS total_formula_cells FROM t JOIN c USING (o_custkey) WHERE k >= 2 UNION ALL SELECT o_custkey::VARCHAR, 'Top', 1, 1, round(round(max(v) * 3, 2), 1), round(round(CASE WHEN max(n) > 1 THEN max(v) * 3 + any_value(d) * 3 ELSE max(v) * 3 + 1000 END, 2), 1), max(n) + 1 FROM t JOIN c USING (o_custkey) GROUP BY 1",
 )
 
 
@@ -373,13 +370,14 @@ _SHEET = "Sheet"
 
 
 def _cells(d: DataFrame) -> DataFrame:
-    long = structure.to_long(d, "o_orderkey", ["o_orderkey", "o_totalprice"]).withColumn("formula", F.lit(None).cast("string"))
-    text = F.concat(F.lit("=B"), F.col("o_orderkey").cast("string"), F.lit("+SUM(B$1:B5)"))
-    made = d.select(F.col("o_orderkey").alias("row"), F.lit(3).alias("col"), F.lit(None).cast("string").alias("value"), text.alias("formula"))
+    d = d.withColumn("row", F.col("o_orderkey") + 1)
+    long = structure.to_long(d, "row", ["o_orderkey", "o_totalprice"]).withColumn("formula", F.lit(None).cast("string"))
+    text = F.concat(F.lit("=B"), F.col("row").cast("string"), F.lit("+SUM(B$1:B5)"))
+    made = d.select("row", F.lit(3).alias("col"), F.lit(None).cast("string").alias("value"), text.alias("formula"))
     return long.unionByName(made)
 
 
-_LONG = """WITH c AS (SELECT o_orderkey AS "row", 1 AS col, o_orderkey::VARCHAR AS value, NULL::VARCHAR AS formula FROM orders UNION ALL SELECT o_orderkey, 2, o_totalprice::VARCHAR, NULL FROM orders UNION ALL SELECT o_orderkey, 3, NULL, '=B' || o_orderkey || '+SUM(B$1:B5)' FROM orders) """
+_LONG = """WITH c AS (SELECT o_orderkey + 1 AS "row", 1 AS col, o_orderkey::VARCHAR AS value, NULL::VARCHAR AS formula FROM orders UNION ALL SELECT o_orderkey + 1, 2, o_totalprice::VARCHAR, NULL FROM orders UNION ALL SELECT o_orderkey + 1, 3, NULL, '=B' || (o_orderkey + 1) || '+SUM(B$1:B5)' FROM orders) """
 _MOVED = "CASE WHEN formula IS NULL THEN NULL ELSE {} END AS formula"
 for _name, _f, _sql in (
     ("insert_rows", lambda c: structure.insert(c, "row", 5, 2), 'SELECT CASE WHEN "row" >= 5 THEN "row" + 2 ELSE "row" END AS "row", col, value, ' + _MOVED.format("""'=B' || CASE WHEN "row" >= 5 THEN "row" + 2 ELSE "row" END || '+SUM(B$1:B7)'""") + " FROM c"),

@@ -91,7 +91,7 @@ class Package:
         self.date1904 = properties is not None and properties.get("date1904", "0") in ("1", "true")
         order = list(self.states)
         #: What each defined name stands for; those of one sheet as Sheet!Name.
-        self.defined = {(f"{order[int(d.get('localSheetId'))]}!" if d.get("localSheetId") else "") + d.get("name"): (d.text or "").strip() for d in book.iter(f"{_NS}definedName")}
+        self.defined = {(f"{order[int(d.get('localSheetId'))]}!" if int(d.get("localSheetId") or len(order)) < len(order) else "") + d.get("name"): (d.text or "").strip() for d in book.iter(f"{_NS}definedName")}
         self._strings: list[str] | None = None
         self._formats: list[str] | None = None
 
