@@ -260,41 +260,73 @@ def template(formula: str, row: int, col: int) -> str:
     return "".join(out)
 
 
+#: Text in quotes, or a cell or area of the own sheet: most formulas have nothing else to rewrite.
+_OWN = re.compile(r'"[^"]*"|(?<![\w.$!\'\]])(\$?)([A-Za-z]{1,3})(\$?)([1-9]\d{0,6})(?::(\$?)([A-Za-z]{1,3})(\$?)([1-9]\d{0,6}))?(?![\w(.!\[])')
+_PLAIN = re.compile(r"^[^!\[{#]*$")
+_WHOLE = re.compile(r"[A-Za-z]:\$?[A-Za-z]|(?<![A-Za-z\d])\$?\d+:")
+
+
+def _after(low: int, high: int, at: int, n: int) -> tuple[int, int] | None:
+    """Where rows or columns low to high are after n were inserted at `at` (n < 0: deleted); None if they are all gone."""
+    if n >= 0:
+        return low + n * (low >= at), high + n * (high >= at)
+    end = at - n
+    low = at if at <= low < end else low + n * (low >= end)
+    high = at - 1 if at <= high < end else high + n * (high >= end)
+    return (low, high) if low <= high else None
+
+
 def shifted(formula: str, sheet: str, axis: str, at: int, n: int, own: str | None = None) -> str:
     """The formula, on sheet `own` (default: the same sheet), after n rows or columns of `sheet` were inserted at `at` (n < 0:
     deleted). Fixed references move too. Areas shrink where they lose cells; what's gone is #REF!."""
     home = sheet if own is None else own
-
-    def one(value: int) -> int | None:
-        if n >= 0:
-            return value + n if value >= at else value
-        return None if at <= value < at - n else value + n if value >= at - n else value
-
-    def span(low: int, high: int) -> tuple[int, int] | None:
-        if n >= 0:
-            return one(low), one(high)
-        low2 = at if at <= low < at - n else one(low)
-        high2 = at - 1 if at <= high < at - n else one(high)
-        return (low2, high2) if low2 <= high2 else None
+    if _PLAIN.match(formula) and not _WHOLE.search(formula):
+        return _shifted_own(formula, axis, at, n) if home.lower() == sheet.lower() else formula
 
     def change(ref):
         if (ref.sheet or home).lower() != sheet.lower():
             return ref
-        if isinstance(ref, Cell):
-            new = one(getattr(ref, axis))
-            return "#REF!" if new is None else replace(ref, **{axis: new})
-        a, b = getattr(ref.first, axis), getattr(ref.last, axis)
+        first, last = (ref, ref) if isinstance(ref, Cell) else (ref.first, ref.last)
+        a, b = getattr(first, axis), getattr(last, axis)
         if not a:
             return ref
-        found = span(min(a, b), max(a, b))
+        found = _after(min(a, b), max(a, b), at, n)
         if found is None:
             return "#REF!"
         low, high = found if a <= b else found[::-1]
-        return replace(ref, first=replace(ref.first, **{axis: low}), last=replace(ref.last, **{axis: high}))
+        if isinstance(ref, Cell):
+            return replace(ref, **{axis: low})
+        return replace(ref, first=replace(first, **{axis: low}), last=replace(last, **{axis: high}))
 
     return rewrite(formula, change)
 
 
+def _shifted_own(formula: str, axis: str, at: int, n: int) -> str:
+    rows = axis == "row"
+
+    def one(m: re.Match) -> str:
+        dc, c, dr, r, dc2, c2, dr2, r2 = m.groups()
+        if c is None:
+            return m[0]
+        if rows:
+            a = int(r)
+            b = int(r2) if r2 else a
+            if max(a, b) < at:
+                return m[0]
+        else:
+            a = column_number(c)
+            b = column_number(c2) if c2 else a
+        found = _after(a, b, at, n) if a <= b else _after(b, a, at, n)
+        if found is None:
+            return "#REF!"
+        x, y = found if a <= b else found[::-1]
+        if rows:
+            return f"{dc}{c}{dr}{x}:{dc2}{c2}{dr2}{y}" if c2 else f"{dc}{c}{dr}{x}"
+        return f"{dc}{column_letter(x)}{dr}{r}:{dc2}{column_letter(y)}{dr2}{r2}" if c2 else f"{dc}{column_letter(x)}{dr}{r}"
+
+    return _OWN.sub(one, formula)
+
+
 def renamed(formula: str, old: str, new: str) -> str:
     """The formula after a sheet got another name."""
 

@@ -135,6 +135,8 @@ def patch_sheet(sheet: str, edits: dict[tuple[int, int], object]) -> str:
     wanted: dict[int, dict[int, object]] = {}
     for (r, c), v in edits.items():
         wanted.setdefault(r, {})[c] = v
+    if '<row r="' in body and body.count("<row ") == body.count('<row r="') and "<row>" not in body:
+        return head + _numbered(body, wanted) + tail
     out, row = [], 0
     for m in _ROW.finditer(body):
         number = re.search(r'\br="(\d+)"', m[0][: m[0].index(">")])
@@ -146,6 +148,25 @@ def patch_sheet(sheet: str, edits: dict[tuple[int, int], object]) -> str:
     return head + "".join(out) + tail
 
 
+def _numbered(body: str, wanted: dict[int, dict[int, object]]) -> str:
+    """Rows that begin with their number are found without looking into the others."""
+    out, at = [], 0
+    starts = None
+    for r in sorted(wanted):
+        here = body.find(f'<row r="{r}"', at)
+        if here < 0:
+            # The first row after it.
+            starts = starts or [(int(m[1]), m.start()) for m in re.finditer(r'<row r="(\d+)"', body)]
+            here = next((p for n, p in starts if n > r and p >= at), len(body))
+            out += [body[at:here], _new_row(r, wanted[r])]
+            at = here
+            continue
+        m = _ROW.match(body, here)
+        out += [body[at:here], _patched(m[0], r, wanted[r])]
+        at = m.end()
+    return "".join([*out, body[at:]])
+
+
 def _new_row(row: int, values: dict[int, object]) -> str:
     return f'<row r="{row}">{"".join(cell_xml(v, f"{column_letter(c)}{row}") for c, v in sorted(values.items()))}</row>'
 
@@ -192,12 +213,12 @@ def modify(path: str, edits: dict[tuple[str, int, int], object], out: str | None
             shutil.copyfile(path, beside)
             return
         changed = {part: merge_blocks(patch_sheet(package.zip.read(part).decode(), cells), next((b for s, b in (blocks or {}).items() if package.sheets[s] == part), {})) for part, cells in by.items()}
-        with zipfile.ZipFile(beside, "w", zipfile.ZIP_DEFLATED) as z:
+        with zipfile.ZipFile(beside, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
             for info in package.zip.infolist():
                 if info.filename == "xl/calcChain.xml":
                     z.writestr(info.filename, calc_chain([changed.get(p) or package.zip.read(p).decode() for p in package.sheets.values()]))
                 else:
-                    z.writestr(info, changed[info.filename] if info.filename in changed else package.zip.read(info.filename))
+                    z.writestr(info, changed[info.filename] if info.filename in changed else package.zip.read(info.filename), compresslevel=1)
 
 
 def calc_chain(sheets: list[str]) -> str:

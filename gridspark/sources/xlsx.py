@@ -264,8 +264,22 @@ class _Sheet:
         return out
 
     def decoded(self, row: int, found: list[tuple]) -> Iterator[tuple]:
-        col, columns = 0, self.columns
+        col, columns, name, dates, formats = 0, self.columns, self.name, self.dates, self.formats
+        left, right, plain, spills = self.left, self.right, row >= self.top, self.spills
+        general = formats[0] if formats else "General"
         for letters, _, style, kind, attributes, formula, v, inline in found:
+            # Numbers and texts without a style or formula, which most cells are.
+            if plain and letters and not (style or attributes or formula or spills) and (v if not kind else inline and kind == "inlineStr"):
+                col = columns.get(letters) or columns.setdefault(letters, column_number(letters))
+                if left <= col <= right:
+                    if not kind and 0 not in dates:
+                        yield name, row, col, "number", v, None, None, general
+                        continue
+                    if kind:
+                        yield name, row, col, "string", unescape(inline) if "&" in inline else inline, None, None, general
+                        continue
+                else:
+                    continue
             if letters:
                 col = columns.get(letters) or columns.setdefault(letters, column_number(letters))
             else:
