@@ -15,28 +15,51 @@ _KINDS = {"string": "string", "boolean": "bool", "date": "date", "timestamp": "d
 
 def profile(df: DataFrame, order: str | None = None) -> DataFrame:
     """A row for each column: type, null_count, unique_count (capped), unique_capped, cardinality, and samples: the first three
-    different values in order of a column, if one is given. Different values of each task are counted before the shuffle;
-    no column meets in one task."""
+    different values in order of a column, if one is given.
+
+    One aggregate over the columns as they lie counts blanks and kinds, and estimates different values. Only columns with an
+    estimate near the cap or below have their values counted one by one, after a partial aggregate; those beyond never leave
+    their tasks, and their first values come from three more aggregates of one row."""
     kinds = dict(df.dtypes)
-    place = F.col(order) if order else F.lit(0)
-    cells = [F.struct(F.lit(c).alias("name"), F.lit(_KINDS.get(kinds[c], "int" if "int" in kinds[c] else "string")).alias("declared"), F.col(f"`{c}`").cast("string").alias("v")) for c in df.columns if c != order]
-    long = df.select(place.alias("at"), F.explode(F.array(*cells)).alias("c")).select("at", "c.*")
-    counted = long.groupBy("name", "declared", "v").agg(F.count("*").alias("n"), F.min("at").alias("at"))
-    n = num(F.trim(F.col("v")))
-    whole = F.trim(F.col("v")).rlike(r"^[+-]?[0-9]{1,18}$")
-    shown = F.struct("at", "v")
-    per = counted.groupBy("name", "declared").agg(
-        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("filled"),
-        F.count("v").alias("distinct"), F.count(F.when(F.col("v").isNotNull() & n.isNull(), 1)).alias("texts"), F.count(n).alias("numbers"), F.count(F.when(n.isNotNull() & ~whole, 1)).alias("floats"),
-    )
-    kind = F.when(F.col("filled") == 0, F.lit("empty")).when(F.col("declared") != "string", F.col("declared")).when((F.col("texts") > 0) & (F.col("numbers") > 0), F.lit("mixed"))
-    kind = kind.when(F.col("texts") > 0, F.lit("string")).when(F.col("floats") > 0, F.lit("float")).otherwise(F.lit("int"))
-    d, filled = F.col("distinct"), F.col("filled")
-    cardinality = F.when(filled == 0, F.lit("empty")).when(d > CAP, F.lit("high")).when(d == filled, F.lit("unique")).when((d <= 20) & (2 * d <= filled), F.lit("categorical")).otherwise(F.lit("high"))
-    out = per.select("name", kind.alias("type"), "null_count", F.least(d, F.lit(CAP)).alias("unique_count"), (d > CAP).alias("unique_capped"), cardinality.alias("cardinality"))
-    if not order:
-        return out
-    return out.join(samples(counted.filter("v IS NOT NULL").select("name", shown.alias("s"))), "name", "left")
+    columns = [c for c in df.columns if c != order]
+    text = lambda c: F.col(f"`{c}`").cast("string")
+    number = lambda c: num(F.trim(text(c)))
+    whole = lambda c: F.trim(text(c)).rlike(r"^[+-]?[0-9]{1,18}$")
+    asked = [F.count("*").alias("rows")]
+    for k, c in enumerate(columns):
+        asked += [F.count(f"`{c}`").alias(f"n{k}"), F.approx_count_distinct(f"`{c}`", 0.02).alias(f"d{k}")]
+        if kinds[c] == "string":
+            asked += [F.max(number(c).isNull() & text(c).isNotNull()).alias(f"t{k}"), F.max(number(c).isNotNull()).alias(f"m{k}"), F.max(number(c).isNotNull() & ~whole(c)).alias(f"f{k}")]
+    facts = df.agg(*asked).first()
+    few = [c for k, c in enumerate(columns) if facts[f"d{k}"] <= 2 * CAP]
+    distinct, firsts = dict.fromkeys(columns, 2 * CAP), {}
+    if few:
+        cells = F.array(*(F.struct(F.lit(c).alias("name"), text(c).alias("v")) for c in few))
+        long = df.select((F.col(order) if order else F.lit(0)).alias("at"), F.explode(cells).alias("c")).select("at", "c.*").filter("v IS NOT NULL")
+        counted = long.groupBy("name", "v").agg(F.min("at").alias("at"))
+        distinct |= dict.fromkeys(few, 0) | {r["name"]: r["n"] for r in counted.groupBy("name").agg(F.count("*").alias("n")).collect()}
+        if order:
+            firsts = {r["name"]: r["samples"] for r in samples(counted.select("name", F.struct("at", "v").alias("s"))).collect()}
+    many = [c for c in columns if c not in few]
+    for _ in range(3 if order and many else 0):
+        new = lambda c: text(c).isNotNull() & (~text(c).isin(firsts[c]) if firsts.get(c) else F.lit(True))
+        row = df.agg(*(F.min_by(F.when(new(c), text(c)), F.when(new(c), F.struct(F.col(order), text(c)))).alias(f"v{k}") for k, c in enumerate(many))).first()
+        for k, c in enumerate(many):
+            firsts[c] = [*firsts.get(c, []), *([row[k]] if row[k] is not None else [])]
+    out = []
+    for k, c in enumerate(columns):
+        filled, d = facts[f"n{k}"], distinct[c]
+        declared = _KINDS.get(kinds[c], "int" if "int" in kinds[c] else "string")
+        if not filled:
+            kind = "empty"
+        elif kinds[c] != "string":
+            kind = declared
+        else:
+            kind = "mixed" if facts[f"t{k}"] and facts[f"m{k}"] else "string" if facts[f"t{k}"] else "float" if facts[f"f{k}"] else "int"
+        spread = "empty" if not filled else "high" if d > CAP else "unique" if d == filled else "categorical" if d <= 20 and 2 * d <= filled else "high"
+        out.append((c, kind, facts["rows"] - filled, min(d, CAP), d > CAP, spread, firsts.get(c, [])))
+    made = df.sparkSession.createDataFrame(out, "name string, type string, null_count bigint, unique_count bigint, unique_capped boolean, cardinality string, samples array<string>")
+    return made if order else made.drop("samples")
 
 
 #: Parts in which a column's first values are looked for.
