@@ -362,7 +362,7 @@ def npv(rate, values: Column):
 @function
 def irr(values: Column, guess: float | None = None):
     """The rate at which an array of values, the first at period 0, is worth nothing; NULL if there is none (a spreadsheet says
-    #NUM!). Newton's steps go over all rows of a batch at once; rows where they don't end are halved one by one."""
+    #NUM!). Newton's steps go over all rows of a batch at once; rows where they don't end above -1 are halved one by one."""
     start = 0.1 if guess is None else float(guess)
 
     @F.pandas_udf("double")
@@ -397,7 +397,7 @@ def rates_of_return(flows: list[np.ndarray], guess: float = 0.1) -> np.ndarray:
             rate[at] = np.where(done, r, r - step)
             open_[at] = ~(done | (np.abs(step) < 1e-10))
             open_[at] &= np.isfinite(rate[at])
-    good = ~open_ & np.isfinite(rate)
+    good = ~open_ & np.isfinite(rate) & (rate > -1)
     out[able[good]] = rate[good]
     for k in able[~good].tolist():
         found = rate_of_return(flows[k].tolist(), guess)

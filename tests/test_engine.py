@@ -8,11 +8,12 @@ from datetime import date
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridspark import catalog
-from gridspark.functions import scalar, values
+from gridspark.functions import plain, scalar, values
 from gridspark.operators import criteria, filters, lookup, pivot, profile, structure
 from gridspark.plans import formula
 from gridspark.sources import files
@@ -61,6 +62,13 @@ def test_scalar_vectors(spark):
     assert _one(spark, scalar.irr(F.array(L(1.0), L(1.0)))) == (None,)
 
 
+def test_a_rate_of_return_lies_above_minus_one():
+    """Newton's steps leave for -1.45, which is a root but no rate."""
+    flows = [-200000.0, 33514.78, 9900.64, 12525.19, 15176.94]
+    found = [plain.rate_of_return(flows), *scalar.rates_of_return([np.array(flows), np.array([-100.0, 60.0, 60.0])])]
+    assert [round(r, 6) for r in found] == [-0.343507, -0.343507, 0.130662]
+
+
 def test_values(spark):
     got = [spark.createDataFrame([(v,)], "v string").select(values.num(F.col("v"))).first()[0] for v in ("5", "1d", " 5", "NaN", "1e3", "-.5", "", None)]
     assert got == [5.0, None, None, None, 1000.0, -0.5, None, None]
