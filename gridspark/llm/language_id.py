@@ -4,7 +4,7 @@ Each language has a tree of byte contexts up to `order` bytes with escape method
 frozen after training. A tree holds what training met and no more: counts of grams, and for each context what an escape
 costs and what is left to code once its own bytes are excluded. A text's code length in each language is the exact sum over
 its bytes; the language with the shortest code is predicted. Trees are fitted on a bounded number of whole labelled
-documents, whose grams are counted where the texts are; every text is scored whole.
+documents, some dozens of which are counted together in a task; every text is scored whole.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ START = 0xFF
 AT_ONCE = 1 << 18
 #: Bytes of trees that are broadcast at once: more languages are scored in several passes over the texts.
 TREE_BYTES = 128 << 20
+#: Training texts of a language that one task counts together, and bytes from which a text is counted by itself.
+TOGETHER, LONG = 64, 1 << 20
+#: Rows of counts that leave a task at once.
+ROWS = 1 << 18
 
 
 @dataclass
@@ -168,8 +172,9 @@ def code_lengths(trees: Trees, texts: pa.Array) -> np.ndarray:
 
 
 def training_grams(docs: DataFrame, train, id_col: str, text_col: str, lang_col: str, max_docs: int, order: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Grams and counts of at most max_docs whole texts of each language, chosen by a hash of text. Texts are counted where
-    they are; a row for each different gram of a language comes to the driver."""
+    """Grams and counts of at most max_docs whole texts of each language, chosen by a hash of text. Some dozens of texts of a
+    language are counted together, so the rows that a count makes don't follow the number of partitions; a row for each
+    different gram of a language comes to the driver."""
     able = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     able = able.withColumn("k", F.xxhash64("text"))
     slim = table(able.select(F.col("lang").alias("l"), F.col("k").alias("h")).distinct(), "hashes")
@@ -180,13 +185,22 @@ def training_grams(docs: DataFrame, train, id_col: str, text_col: str, lang_col:
     picked = low.selectExpr("l", "h", "row_number() OVER (PARTITION BY l ORDER BY h) AS r").filter(F.col("r") <= max_docs).select("l", "h")
     rows = able.join(F.broadcast(picked), (F.col("lang") == F.col("l")) & (F.col("k") == F.col("h"))).groupBy("lang", "k").agg(F.first("text").alias("text"))
 
+    # Few texts to a task would send a gram once from nearly every text that has it.
+    deal = F.when(F.octet_length("text") >= LONG, F.col("k")).otherwise(F.pmod("k", F.lit(max(-(-max_docs // TOGETHER), 1))))
+    rows = rows.repartition("lang", deal)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for lang in pc.unique(batch.column(0)).to_pylist():
                 texts = batch.column(1).filter(pc.equal(batch.column(0), lang))
                 for a, b in slices(texts):
-                    grams, n = count_grams(texts.slice(a, b - a), order)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams), pa.array(n)], ["lang", "gram", "n"])
+                    new = count_grams(texts.slice(a, b - a), order)
+                    found[lang] = _summed(*zip(found[lang], new, strict=True)) if lang in found else new
+        for lang, (grams, n) in found.items():
+            for at in range(0, len(grams), ROWS):
+                g = pa.array(grams[at : at + ROWS])
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(g)), g, pa.array(n[at : at + ROWS])], ["lang", "gram", "n"])
 
     counted = map_batches(rows.select("lang", "text"), count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     out = {}

@@ -599,6 +599,33 @@ def test_language_id_learns_from_long_texts(spark):
         assert all(got[i]["lang_pred"] == lang and 0.99 < got[i]["score"] <= 1 for i, _, lang in data)
 
 
+@pytest.mark.parametrize("long", [None, 200])
+def test_language_id_counts_do_not_follow_the_partitions(spark, monkeypatch, long):
+    """Texts of a language are counted together: a gram doesn't leave once from each of many partitions. A large group of copies counts once."""
+    rng, words_ = np.random.default_rng(5), [f"{k * 7919 % 9973:x}" for k in range(200)]
+    data = [(k, " ".join(rng.choice(words_, 60 if k % 9 else 30)), "ab"[k % 2]) for k in range(600)]
+    df = spark.createDataFrame([*data, *((1000 + k, "one text that is copied", "a") for k in range(400))], "doc_id long, text string, lang string")
+    made, real = [], language_id.map_batches
+    monkeypatch.setattr(language_id, "map_batches", lambda *args: made.append(real(*args)) or made[-1])
+    if long:
+        monkeypatch.setattr(language_id, "LONG", long)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = language_id.training_grams(df, F.lit(True), "doc_id", "text", "lang", 400, 3)
+        n = made[0].count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for lang in "ab":
+        grams, counts = language_id.count_grams(pa.array([t for _, t, x in data if x == lang] + ["one text that is copied"] * (lang == "a"), pa.large_string()), 3)
+        assert (got[lang][0] == grams).all() and (got[lang][1] == counts).all()
+    if long is None:
+        assert n <= 7 * sum(len(g) for g, _ in got.values())
+
+
 def test_mixing_of_many_sources(spark):
     """More sources than shares, most of them of one share: each has its own slots, within its deadlines."""
     df = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN id % 4 = 0 THEN 'big' ELSE concat('s', id % 1999) END AS source")
