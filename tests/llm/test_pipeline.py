@@ -10,7 +10,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridspark.llm import mixing, simhash
+from gridspark.llm import language_id, mixing, simhash
 from gridspark.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -91,3 +91,21 @@ def test_recall_of_near_copies_does_not_fall_with_size(spark, n):
         print(f"recall n={n} {low}-{high}: {caught:.3f} of {len(near)}")
         assert len(near) > 50 and caught >= 0.95
         assert all(lead[1_000_000 + k] != lead[k] for k in range(400) if true[k] < 0.8)
+
+
+def test_language_id_sends_a_gram_a_few_times_only(spark, monkeypatch):
+    """However many partitions there are, counts of training texts leave from few tasks; no row goes."""
+    rng, vocabulary = np.random.default_rng(6), [f"{k * 7919 % 9973:x}" for k in range(200)]
+    df = spark.createDataFrame([(k, " ".join(rng.choice(vocabulary, 50)), "ab"[k % 2]) for k in range(500)], "doc_id long, text string, lang string")
+    made, real = [], language_id.map_batches
+    monkeypatch.setattr(language_id, "map_batches", lambda *args: made.append(real(*args)) or made[-1])
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert corpus_pipeline.identify_language(spark, df, "").count() == 500
+        assert made[0].count() <= 7 * made[0].select("lang", "gram").distinct().count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
